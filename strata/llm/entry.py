@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strata.session import ship
 
@@ -20,6 +21,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.minimax_shards import shard
+
+    return shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op7_minimax_shards": op7_minimax_shards,
     "op8_quality_rules": op8_quality_rules,
 }
