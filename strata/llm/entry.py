@@ -29,7 +29,21 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.best_fit import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.wavelet import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_wavelet": op2_wavelet,
+    "op5_best_fit": op5_best_fit,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_quality_rules": op8_quality_rules,
 }
