@@ -41,7 +41,14 @@ def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.decontaminate import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
+    "op4_winnowing": op4_winnowing,
     "op2_wavelet": op2_wavelet,
     "op5_best_fit": op5_best_fit,
     "op7_minimax_shards": op7_minimax_shards,
