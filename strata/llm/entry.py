@@ -47,7 +47,14 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_warc": op10_warc,
     "op4_winnowing": op4_winnowing,
     "op2_wavelet": op2_wavelet,
     "op5_best_fit": op5_best_fit,
