@@ -53,7 +53,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op10_warc": op10_warc,
     "op4_winnowing": op4_winnowing,
     "op2_wavelet": op2_wavelet,
