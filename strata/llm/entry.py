@@ -59,7 +59,14 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.substrings import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_substrings": op3_substrings,
     "op1_html_text": op1_html_text,
     "op10_warc": op10_warc,
     "op4_winnowing": op4_winnowing,
