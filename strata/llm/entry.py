@@ -65,7 +65,14 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.suffixes import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_suffixes": op9_suffixes,
     "op3_substrings": op3_substrings,
     "op1_html_text": op1_html_text,
     "op10_warc": op10_warc,
