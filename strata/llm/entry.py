@@ -71,7 +71,14 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_minhash": op6_minhash,
     "op9_suffixes": op9_suffixes,
     "op3_substrings": op3_substrings,
     "op1_html_text": op1_html_text,
