@@ -43,8 +43,11 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def freeze(docs: DataFrame, scratch: Scratch, id_col: str, text: str) -> tuple[DataFrame, int, int]:
-    """Write the blocks; returns them, their text bytes and their number."""
+def freeze(docs: DataFrame, scratch: Scratch, id_col: str, text: str, carry: bool = False) -> tuple[DataFrame, int, int]:
+    """Write the blocks; returns them, their text bytes and their number.
+
+    With ``carry`` a block also holds the other columns of its rows, as ``row``.
+    """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, number = task_number(), 0
@@ -75,12 +78,19 @@ def freeze(docs: DataFrame, scratch: Scratch, id_col: str, text: str) -> tuple[D
         if held:
             yield finish()
 
-    blocks = scratch.keep(docs.select(ordered_id(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if carry else []
+    blocks = scratch.keep(docs.select(ordered_id(id_col).alias("id"), F.col(text).alias("text"), *others).mapInArrow(
         work, FROZEN), "blocks", codec="uncompressed")
     n_bytes, n_blocks = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     return blocks, n_bytes, n_blocks
 
 
+class Ids(np.ndarray):
+    """A block's ids; ``rows`` has the carried columns, if any."""
+
+    rows: pa.Array | None = None
+
+
 def thaw(texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids ascending, bytes, offsets) of a block."""
     from strata.llm.textvec import buffers
@@ -88,7 +98,10 @@ def thaw(texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = pa.ipc.open_stream(expand(texts)).read_all().combine_chunks()
     column = table.column("text")
     column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    return table.column("id").to_numpy(), *buffers(column)
+    ids = table.column("id").to_numpy().view(Ids)
+    if "row" in table.column_names:
+        ids.rows = table.column("row").combine_chunks()
+    return ids, *buffers(column)
 
 
 def each_block(blocks: DataFrame, work: Callable, schema: str, answers: str | None = None) -> DataFrame:

@@ -104,10 +104,13 @@ def measure(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
         F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("_l").alias("_n_lines"),
+        # A filter on the metrics stays above this number, so that it is not pushed
+        # down into copies of the arrays.
+        F.monotonically_increasing_id().alias("_mark"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"))
     words, lines = F.col("n_words"), F.col("_n_lines")
     return hashed.select(
-        *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *carry, "_mark", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         _repeat_words(F.col("_w"), F.col("_h")).alias("n_repeat_words"),
         _ratio(F.col("word_chars"), words).alias("mean_word_chars"),
         _ratio(F.col("n_symbols"), words).alias("symbol_ratio"),
@@ -145,4 +148,4 @@ def keep_clean(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     """The rows of docs that pass, with all their columns."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                         F.col(f"`{text}`").alias("_text"))
-    return judge(whole, "_text", ("_row",), rules).where("kept").select("_row.*")
+    return judge(whole, "_text", ("_row",), rules).where("kept AND _mark >= 0").select("_row.*")

@@ -135,11 +135,12 @@ def least_document(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np
     return hs[first], ds[first]
 
 
-def repeats(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,
+            carry: bool = False) -> DataFrame:
     """Run ``finish(ids, data, offsets, words, covered)`` with the repeated words of
     every block marked."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    frozen, n_bytes, _ = B.freeze(docs, scratch, id_col, text)
+    frozen, n_bytes, _ = B.freeze(docs, scratch, id_col, text, carry)
     buckets = B.n_buckets(n_bytes)
 
     def ask_anchors(grp, block, ids, data, offsets, _) -> Iterator[pa.RecordBatch]:
@@ -194,21 +195,30 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     return out.withColumnRenamed("id", id_col)
 
 
-def kept_text(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row a document with a removed word: id, kept words joined by spaces,
-    and how many were removed.  Documents that lose nothing have no row."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, without the repeated words.
+
+    A text that loses words becomes its kept words joined by one space; one
+    that loses none stays as it is, null included.  Rows whose words are all
+    repeats are left out.
+    """
+    whole = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text}`").isNull().alias("_null"))
+    row_type = whole.select(F.struct(*[F.col(f"`{c}`") for c in whole.columns if c != text]).alias("row")).schema["row"].dataType
 
     def finish(ids, data, offsets, words, marks) -> pa.RecordBatch:
-        raw, rows = data.tobytes(), ([], [], [])
+        raw, texts, rows = data.tobytes(), [], []
         for row in range(len(ids)):
             cut = marks[int(words.first[row]):int(words.first[row + 1])]
+            body = raw[offsets[row]:offsets[row + 1]]
             if cut.any():
-                kept = [w for w, gone in zip(raw[offsets[row]:offsets[row + 1]].split(), cut.tolist(), strict=True) if not gone]
-                rows[0].append(int(ids[row]))
-                rows[1].append(b" ".join(kept).decode())
-                rows[2].append(int(cut.sum()))
+                if cut.all():
+                    continue
+                body = b" ".join([w for w, gone in zip(body.split(), cut.tolist(), strict=True) if not gone])
+            rows.append(row)
+            texts.append(body.decode())
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())],
-            names=["id", "kept", "n_removed"])
+            [ids.rows.take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=["row", "kept"])
 
-    return repeats(docs, finish, "id long, kept string, n_removed long", id_col, text, window)
+    out = repeats(whole, finish, f"row {row_type.simpleString()}, kept string", id_col, text, window, carry=True)
+    return out.select(*[
+        F.when(~F.col("row._null"), F.col("kept")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
