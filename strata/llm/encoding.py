@@ -9,17 +9,18 @@ depend on any library's Unicode tables.  Each distinct chunk is encoded once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Chunks longer than this are encoded but not remembered.
 CHUNK_CHARS = 64
-#: The memory of chunks is emptied at this many entries.
-CACHE_ENTRIES = 600_000
+#: The memory of chunks has two generations of this many entries; the older is
+#: dropped when the younger is full, and what was used meanwhile has moved over.
+CACHE_ENTRIES = 700_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: White space on which Unicode tables of regular-expression engines differ.
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 #: For byte-level BPE: a space belongs to the word after it, longer runs leave
 #: their last space to it; a run of Latin letters or of ASCII marks (not ')
@@ -43,22 +44,33 @@ class Encoder:
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.cutter = _BYTE_LEVEL if self.byte_level else _WORDS
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def cut(self, text: str) -> list[str] | None:
+        if _ODD_SPACE.search(text):
+            return None
+        if not self.byte_level and not _BEYOND_LATIN.search(text):
+            text = text.lower()  # as the tokenizer does; here letter by letter
+        return self.cutter.findall(text)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
-        find = self.cutter.findall
-        cut = [None if _ODD_SPACE.search(t) else find(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        missing = list(set().union(*[c for c in cut if c]).difference(self.known))
+            self.known, self.older = {}, self.known
+        needed = set().union(*[c for c in cut if c]).difference(self.known)
+        missing = list(needed.difference(self.older))
+        if self.older:
+            older = self.older
+            self.known.update((chunk, older[chunk]) for chunk in needed.intersection(older))
         once = {}
         for at in range(0, len(missing), 4096):
             part = missing[at:at + 4096]
             for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(chunk) <= CHUNK_CHARS else once)[chunk] = np.asarray(got.ids, "<u4").tobytes()
+                (self.known if len(chunk) <= CHUNK_CHARS else once)[chunk] = array("I", got.ids).tobytes()
         if once:
             get = lambda chunk: self.known.get(chunk) or once.get(chunk, b"")
         else:
