@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.oracle import ORACLE  # noqa: F401  read by the driver entry
 from strata.session import ship
 
 
@@ -77,7 +78,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-ORACLE: dict[str, str] = {}
+
 
 QUERIES = {
     "op6_minhash": op6_minhash,

@@ -83,10 +83,10 @@ def expand_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     """
     order = suffix_order(text, length)
     n = len(order)
-    before = np.zeros(n, np.int64)
+    before = np.zeros(n, np.uint16)
     inner = order > 0
-    before[inner] = text[order[inner] - 1].astype(np.int64) + 1
-    by_symbol = np.argsort(before, kind="stable")  # the row that k-th row extends to
+    before[inner] = text[order[inner] - 1].astype(np.uint16) + np.uint16(1)
+    by_symbol = np.argsort(before, kind="stable")  # row k is what row by_symbol[k] extends to
     symbols = before[by_symbol]
     paired = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1  # rows whose upper neighbour has their symbol
     borders = np.ones(n + 1, bool)
@@ -123,26 +123,36 @@ class Phrases:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         self.length = length
-        width, chosen, hashes = length - gram + 1, [], []
-        total = max(0, len(data) - length + 1)
+        width, total = length - gram + 1, max(0, len(data) - length + 1)
+        last_start = np.repeat(offsets[1:], np.diff(offsets)).astype(np.int32) - length if total else None
+        begins, anchors, ends, last = [], [], [], (-1, -1)
         for at in range(0, total, PIECE):
-            end = min(at + PIECE, total)
-            grams = textvec.run_hashes(textvec._RANDOM[data[at:end - 1 + length]], gram)
+            to = min(at + PIECE, total)
+            grams = textvec.run_hashes(textvec._RANDOM[data[at:to - 1 + length]], gram)
             picked = textvec.minima(grams, width)
-            chosen.append(picked + at)
-            hashes.append(grams[picked])
-        may = np.zeros(total + 1, np.int32)
-        full = np.flatnonzero(np.diff(offsets) >= length)
-        np.add.at(may, offsets[full], 1)
-        np.add.at(may, offsets[full + 1] - length + 1, -1)
-        at = np.flatnonzero(np.cumsum(may[:-1]) > 0)
-        anchor = np.concatenate(chosen)[at] if chosen else np.zeros(0, np.int64)
-        fresh = np.concatenate(([True], anchor[1:] != anchor[:-1])) if len(at) else np.zeros(0, bool)
-        begin = np.flatnonzero(fresh)
-        self.start = at[begin]
-        self.end = at[np.concatenate((begin[1:], [len(at)])) - 1] + length if len(at) else at
-        self.anchor = (np.concatenate(hashes)[at[begin]] if chosen else np.zeros(0, np.uint64))
-        whole = textvec.word_hashes(data, self.start, self.end) if len(at) else np.zeros(0, np.uint64)
+            may = np.flatnonzero(np.arange(at, to, dtype=np.int32) <= last_start[at:to])
+            if not len(may):
+                continue
+            picked = picked[may]
+            fresh = np.concatenate(([True], picked[1:] != picked[:-1]))
+            if at + int(picked[0]) == last[0]:  # a phrase goes on from the piece before
+                fresh[0] = False
+            begin = np.flatnonzero(fresh)
+            if len(begin):
+                begins.append(may[begin] + at)
+                anchors.append(grams[picked[begin]])
+                closed = may[begin[begin > 0] - 1] + at
+                if last[0] >= 0:
+                    closed = np.concatenate(([last[1] if begin[0] == 0 else closed[0]], closed[int(begin[0] > 0):]))
+                ends.append(closed)
+            last = (at + int(picked[-1]), at + int(may[-1]))
+        if last[0] >= 0:
+            ends.append(np.array([last[1]]))
+        empty = np.zeros(0, np.int64)
+        self.start = np.concatenate(begins) if begins else empty
+        self.end = np.concatenate(ends) + length if ends else empty
+        self.anchor = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
+        whole = textvec.word_hashes(data, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
         self.phrase = whole >> np.uint64(16)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         # Distinct (anchor, phrase), sorted, each with its first place in the block.
@@ -206,34 +216,46 @@ def settled(phrases: Phrases, answers: dict[int, bytes], buckets: int) -> tuple[
 
 
 def send_blob(phrases: Phrases, entries: np.ndarray, ids: np.ndarray, data: np.ndarray) -> bytes:
-    """The phrases of some entries in the order of their places."""
-    rows = np.sort(phrases.first[entries])
+    """The phrases of some entries, by anchor, with their places."""
+    rows = phrases.first[entries]
     text = b"".join(data[s:e].tobytes() for s, e in zip(phrases.start[rows].tolist(), phrases.end[rows].tolist(), strict=True))
     return B.join_blobs([B.squeeze(text), B.pack_numbers(phrases.end[rows] - phrases.start[rows]),
-                         B.pack_numbers(ids[phrases.doc[rows]])])
+                         B.pack_numbers(ids[phrases.doc[rows]]), B.pack_numbers(rows), B.pack_sorted(phrases.anchor[rows])])
+
+
+#: Phrases of a bucket are transformed in runs of whole anchors of this size.
+TEXT_BYTES = 1 << 20
+
+
+def _phrase_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every byte place of the phrases, one phrase after another."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
 
 
 def interval_answers(length: int):
     def answer(blocks: list[int], blobs: list[bytes]) -> list[bytes]:
         """Round 2 in a bucket: for each window of each phrase, is it a repeat?"""
-        texts, sizes, ids, owner = [], [], [], []
-        for number, blob in enumerate(blobs):
-            t, s, d = B.split_blobs(blob)
-            texts.append(np.frombuffer(B.expand(t), np.uint8))
-            sizes.append(B.unpack_numbers(s))
-            ids.append(B.unpack_numbers(d))
-            owner.append(np.full(len(sizes[-1]), number))
-        data, size, doc, own = np.concatenate(texts), np.concatenate(sizes), np.concatenate(ids), np.concatenate(owner)
+        parts = [B.split_blobs(blob) for blob in blobs]
+        texts = [np.frombuffer(B.expand(p[0]), np.uint8) for p in parts]
+        sizes, docs, rows = ([B.unpack_numbers(p[k]) for p in parts] for k in (1, 2, 3))
+        data, size, doc, row = np.concatenate(texts), np.concatenate(sizes), np.concatenate(docs), np.concatenate(rows)
+        anchor = np.concatenate([B.unpack_sorted(p[4]) for p in parts])
+        own = np.repeat(np.arange(len(parts)), [len(s) for s in sizes])
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        order = np.lexsort((np.arange(len(size)), own, doc))  # earliest place first
-        place = np.repeat(start[order] - np.concatenate(([0], np.cumsum(size[order])[:-1])), size[order]) + np.arange(len(data))
-        windows = np.repeat(size[order] - length + 1, size[order])
-        within = np.arange(len(data)) - np.repeat(np.concatenate(([0], np.cumsum(size[order])[:-1])), size[order])
-        hit = repeated_windows(data[place], within < windows, length)
-        back = np.empty(len(data), bool)
-        back[place] = hit
+        order = np.lexsort((row, own, doc, anchor))  # in an anchor the earliest place first
+        first = np.flatnonzero(_runs(anchor[order]))
+        filled = np.concatenate(([0], np.cumsum(size[order])))
+        out, at = np.zeros(len(data), bool), 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(filled[first], filled[first[at]] + TEXT_BYTES)))
+            some = order[first[at]:first[to] if to < len(first) else len(order)]
+            n = size[some]
+            place = _phrase_places(start[some], n)
+            within = np.arange(len(place)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            out[place] = repeated_windows(data[place], within < np.repeat(n - length + 1, n), length)
+            at = to
         cuts = np.cumsum([len(t) for t in texts])[:-1]
-        return [B.squeeze(np.packbits(part).tobytes()) for part in np.split(back, cuts)]
+        return [B.squeeze(np.packbits(part).tobytes()) for part in np.split(out, cuts)]
 
     return answer
 
@@ -296,11 +318,10 @@ def removals(docs: DataFrame, finish, schema: str, id_col: str, text: str, lengt
         entries = np.flatnonzero(sent)
         cut = np.searchsorted(entries, bounds)
         for k, blob in answers.items():
-            rows = np.sort(phrases.first[entries[cut[k]:cut[k + 1]]])
+            rows = phrases.first[entries[cut[k]:cut[k + 1]]]
             size = phrases.end[rows] - phrases.start[rows]
             bits = np.unpackbits(np.frombuffer(B.expand(blob), np.uint8), count=int(size.sum())).view(bool)
-            base = np.repeat(phrases.start[rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            at = (base + np.arange(len(base)))[bits]
+            at = _phrase_places(phrases.start[rows], size)[bits]
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
         yield finish(ids, data, offsets, np.cumsum(change[:-1]) > 0)
