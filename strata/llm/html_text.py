@@ -43,7 +43,7 @@ MOST_LINKED = 0.6
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)", re.DOTALL)
+    r"|(?P<text>[^<]+|<(?![a-zA-Z/!?]))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -123,8 +123,12 @@ def segments(page: str) -> list[tuple[int, str]]:
             if at == end:
                 break
         match = _PIECE.match(page, at)
-        if match is None:  # a tag that never ends
-            break
+        if match is None:  # a tag with an open quote, or one that never ends
+            close = page.find(">", at)
+            if close < 0:
+                break
+            at = close + 1
+            continue
         at = match.end()
         text = match["text"]
         if text is not None:
@@ -222,13 +226,23 @@ def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.n
     for page in pages:
         marks = []
         for segment in page:
-            marks.append(hit[at + 1:at + 1 + len(segment)])
+            marks.append(_whole_runs(hit[at + 1:at + 1 + len(segment)], run))
             at += 1 + len(segment)
         at += 1
         out.append(marks)
     return out
 
 
+def _whole_runs(hit: np.ndarray, run: int) -> np.ndarray:
+    """A run that reaches over a border takes a short segment whole or leaves it."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    out = hit.copy()
+    for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if high - low < run and high - low < len(hit):
+            out[low:high] = False
+    return out
+
+
 _SEGMENTS = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
 
 
