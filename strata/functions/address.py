@@ -10,6 +10,9 @@ import re
 from dataclasses import dataclass, field
 
 
+_BAD_SPAN = "bad line span `{}`: expected `L<start>-L<end>`"
+
+
 class AddressError(ValueError):
     """An address that cannot be read; commands end with exit code 2."""
 
@@ -59,9 +62,9 @@ def slash_path(path: str) -> str:
 def _halves(raw: str) -> tuple[str, str]:
     path, mark, selector = raw.partition("#")
     if not mark:
-        raise AddressError(f"address `{raw}` has no `#`: use path#symbol, path#L3-L9 or path#")
+        raise AddressError(f"address `{raw}` has no `#`: use `{raw}#Symbol`, or `{raw}#` for the outline")
     if not path:
-        raise AddressError(f"address `{raw}` has an empty path or name")
+        raise AddressError(f"address `{raw}` has no file part: bare-name lookup is not supported yet")
     return path, selector
 
 
@@ -72,15 +75,15 @@ def parse_address(raw: str) -> Address:
     if re.match(r"L[0-9]", selector):
         match = re.fullmatch(r"L([0-9]+)(?:-L?([0-9]+))?", selector)
         if match is None:
-            raise AddressError(f"`{selector}` is not a line span: use L3 or L3-L9")
+            raise AddressError(_BAD_SPAN.format(raw))
         first = int(match[1])
         last = int(match[2]) if match[2] else first
         if not first or last < first:
-            raise AddressError(f"`{selector}` is not a line span: lines start at 1 and go up")
+            raise AddressError(_BAD_SPAN.format(raw))
         return Address(path, "lines", (), first, last)
     parts = tuple(selector.split("."))
     if not all(parts):
-        raise AddressError(f"address `{raw}` has an empty path or name")
+        raise AddressError(f"address `{raw}` has no file part: bare-name lookup is not supported yet")
     return Address(path, "symbol", parts)
 
 
@@ -98,7 +101,7 @@ def parse_doc_address(raw: str) -> DocAddress:
     path, selector = _halves(raw)
     kind = doc_format(path)
     if kind is None:
-        raise AddressError(f"{path}: not a json, yaml or markdown document")
+        raise AddressError(f"unsupported format for `{path}`: only json, yaml and markdown documents are read")
     if kind == "markdown":
         steps = [("key", part.strip()) for part in selector.split("/") if part]
     else:

@@ -317,7 +317,8 @@ def parse_code(path: str, text: str) -> dict:
         (n, s.parent, s.depth, n, s.dotted, s.name, s.kind, source.line_of(s.span[0]),
          source.line_of(max(s.span[1] - 1, s.span[0])), s.span[0], s.span[1], s.def_start, s.sig_end, signature(s),
          s.decorators, s.params, s.required, s.max_args, s.type_names, s.descendants,
-         source.cut(*s.span).rstrip(), source.cut(s.def_start, s.span[1]).rstrip())
+         source.cut(*s.span).rstrip(), source.snap(s.def_start) - s.span[0], s.sig_end - s.span[0],
+         source.line_of(s.def_start), source.line_of(max(s.sig_end - 1, s.span[0])))
         for n, s in enumerate(symbols)]
     call_rows = sorted(
         ((name, receiver, full, arity, source.line_of(byte), byte, inside.of(byte)) for name, receiver, full, arity, byte in calls),

@@ -2,7 +2,8 @@
 
 A row: ord, parent, depth, position, key, path, kind, span_start, span_end,
 entry_start, start_line, end_line, summary, n_children, n_desc, text, and the keys
-and positions of the way down to the node.
+and positions of the way down to the node; then what a slice shows: the text
+from the line's start, without and with the key, and the line of the key.
 Nodes are numbered in document order; ``text`` is the exact span.
 """
 
@@ -270,6 +271,14 @@ def parse_doc(kind: str, text: str) -> tuple[int, list[tuple]]:
             widths.append(widths[-1] + len(c.encode()))
     byte = (lambda i: widths[i]) if widths else (lambda i: i)
     rows: list[list] = []
+
+    def line_of(at: int) -> int:
+        return max(1, bisect_right(starts, at))
+
+    def shown(at: int, end: int) -> str:
+        first = starts[line_of(at) - 1]
+        return data[at if data[first:at].decode().strip() else first:end].decode().rstrip()
+
     stack = [(node, None, 1, position, (), ()) for position, node in reversed(list(enumerate(roots)))]
     while stack:
         node, parent, depth, position, above, ahead = stack.pop()
@@ -281,7 +290,8 @@ def parse_doc(kind: str, text: str) -> tuple[int, list[tuple]]:
         summary = node.summary if node.summary is not None else summarise(node.kind, text[node.start:node.end], len(node.children))
         rows.append([number, parent, depth, position, node.key, node.path, node.kind, start, end, byte(node.entry),
                      max(1, bisect_right(starts, start)), end_line, summary, len(node.children), 0,
-                     data[start:end].decode(), steps, places])
+                     data[start:end].decode(), steps, places,
+                     shown(start, end), shown(byte(node.entry), end), line_of(byte(node.entry))])
         stack += [(child, number, depth + 1, k, steps, places) for k, child in reversed(list(enumerate(node.children)))]
     for row in reversed(rows):
         if row[1] is not None:

@@ -30,13 +30,15 @@ def resolve(nodes: DataFrame, target: DocAddress) -> DataFrame:
     return rows
 
 
-def slices(rows: DataFrame, with_key: bool = False, entry_text: Column | None = None) -> DataFrame:
-    """The exact text of each node; ``lines`` counts the value's own lines."""
-    text = F.regexp_replace("text", r"[\s\p{Z}]+$", "") if entry_text is None else entry_text
+def slices(rows: DataFrame, with_key: bool = False) -> DataFrame:
+    """The exact text of each node from its line's start; with its key, the span
+    begins at the key but ``lines`` still counts the value's own lines."""
     same = Window.partitionBy("path", "node_path")
     return rows.select(
-        "path", doc_address(F.col("path"), F.col("node_path")).alias("address"), "kind", "start_line", "end_line",
-        (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "summary", text.alias("text"),
+        "path", doc_address(F.col("path"), F.col("node_path")).alias("address"), "kind",
+        (F.col("entry_line") if with_key else F.col("start_line")).alias("start_line"), "end_line",
+        (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "summary",
+        (F.col("entry_text") if with_key else F.col("slice_text")).alias("text"),
         F.row_number().over(same.orderBy("ord")).alias("number"), F.count("*").over(same).alias("of"), "ord").orderBy("path", "ord")
 
 

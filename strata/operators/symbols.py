@@ -45,14 +45,16 @@ def slices(symbols: DataFrame, addresses: DataFrame, signature_only: bool = Fals
 
 def _numbered(found: DataFrame, signature_only: bool, decorators: bool) -> DataFrame:
     same = Window.partitionBy("path", "dotted")
-    if signature_only:
-        text = F.concat_ws(" ", F.array_join("decorators", " "), "signature") if decorators else F.col("signature")
-        text = F.trim(text)
-    else:
-        text = F.col("text") if decorators else F.col("bare_text")
+    body = F.col("text").cast("binary")
+    start = F.lit(0) if decorators else F.col("bare_at")
+    end = F.col("sig_at") if signature_only else F.octet_length("text")
+    first = F.col("start_line") if decorators else F.col("def_line")
+    last = F.col("sig_line") if signature_only else F.col("end_line")
+    signature = F.concat_ws(" ", F.array_join("decorators", " "), "signature") if decorators else F.col("signature")
     return found.select(
-        "path", F.concat("path", F.lit("#"), "dotted").alias("address"), "kind", "name", "dotted", "start_line", "end_line",
-        (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "signature", text.alias("text"),
+        "path", F.concat("path", F.lit("#"), "dotted").alias("address"), "kind", "name", "dotted", first.alias("start_line"),
+        last.alias("end_line"), (last - first + 1).alias("lines"), F.trim(signature).alias("signature"),
+        F.rtrim(F.substring(body, start + 1, end - start).cast("string")).alias("text"),
         F.row_number().over(same.orderBy("ord")).alias("number"), F.count("*").over(same).alias("of"))
 
 

@@ -236,7 +236,7 @@ def slice_symbol(spark, sf_dir):
     return found.select("address", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "text")
 
 
-@query("slice_signature", "SELECT 'routes/r' || n_regionkey || '.py#nation_' || n_nationkey AS address, '@app.get(\"/' || n_name || '\") def nation_' || n_nationkey || '():' AS text FROM nation")
+@query("slice_signature", "SELECT 'routes/r' || n_regionkey || '.py#nation_' || n_nationkey AS address, '@app.get(\"/' || n_name || '\")' || chr(10) || 'def nation_' || n_nationkey || '():' AS text FROM nation")
 def slice_signature(spark, sf_dir):
     rows = _code(spark, sf_dir).symbols
     return symbols.slices(rows, _in(rows, "routes"), signature_only=True).select("address", "text")
@@ -332,7 +332,7 @@ def yaml_outline(spark, sf_dir):
 
 
 @query("yaml_slice", """SELECT 'customers/n' || c_nationkey || '.yaml#customers.c' || c_custkey AS address, CAST(2 AS BIGINT) AS lines,
-'name: ' || c_name || chr(10) || '    segment: ' || c_mktsegment AS text FROM customer""")
+'    name: ' || c_name || chr(10) || '    segment: ' || c_mktsegment AS text FROM customer""")
 def yaml_slice(spark, sf_dir):
     rows = _nodes(spark, sf_dir, "yaml").where("depth = 2")
     return documents.slices(rows).select("address", F.col("lines").cast("long").alias("lines"), "text")

@@ -21,7 +21,7 @@ SYMBOLS = (
     "sym_id int, parent_id int, depth int, ord int, dotted string, name string, kind string, start_line int, "
     "end_line int, span_start int, span_end int, def_start int, sig_end int, signature string, decorators array<string>, "
     "params array<string>, required int, max_args int, type_names array<string>, descendants int, text string, "
-    "bare_text string")
+    "bare_at int, sig_at int, def_line int, sig_line int")
 CALLS = "name string, receiver string, full string, arity int, line int, byte int, enclosing string"
 IMPORTS = "module string, name string, alias string"
 NAMES = "byte int, line int, text string, occurrence string, enclosing string"
@@ -29,7 +29,7 @@ LITERALS = "byte int, line int, kind string, raw string, skeleton string, is_doc
 NODES = (
     "ord int, parent_ord int, depth int, position int, key string, node_path string, kind string, span_start int, "
     "span_end int, entry_start int, start_line int, end_line int, summary string, n_children int, n_desc int, "
-    "text string, steps array<string>, places array<int>")
+    "text string, steps array<string>, places array<int>, slice_text string, entry_text string, entry_line int")
 
 
 def _list(fields: str) -> str:
