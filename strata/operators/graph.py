@@ -35,7 +35,7 @@ def callers(code: Code, targets: DataFrame | None = None, tests: bool = True) ->
     target: its arity fits if any of them accepts it.
     """
     symbols = code.symbols
-    rows = symbols if targets is None else symbols.join(F.broadcast(targets.select("path", "dotted").distinct()), ["path", "dotted"], "left_semi")
+    rows = symbols if targets is None else symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"], "left_semi")
     parts = F.split("dotted", r"\.")
     target = rows.groupBy("path", "dotted", "name").agg(
         F.array_agg(F.struct("required", "max_args", "start_line", "end_line")).alias("defs")).select(
@@ -109,7 +109,7 @@ def packet_callers(code: Code, targets: DataFrame, tests: bool = True) -> DataFr
 def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
     """What the lines of each target call: up to three definitions of a name."""
     symbols = code.symbols
-    span = symbols.join(F.broadcast(targets.select("path", "dotted").distinct()), ["path", "dotted"]).groupBy("path", "dotted").agg(
+    span = symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"]).groupBy("path", "dotted").agg(
         F.min_by(F.struct("start_line", "end_line"), "ord").alias("s"))
     # Paths in order, then source order: the order in which definitions are listed.
     place = Window.partitionBy("name").orderBy("path", "ord")
@@ -128,7 +128,7 @@ def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
 def packet_types(code: Code, targets: DataFrame) -> DataFrame:
     """Classes that a target's signature names."""
     symbols = code.symbols
-    first = symbols.join(F.broadcast(targets.select("path", "dotted").distinct()), ["path", "dotted"]).groupBy("path", "dotted").agg(
+    first = symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"]).groupBy("path", "dotted").agg(
         F.min_by("type_names", "ord").alias("names"))
     named = first.select(F.concat("path", F.lit("#"), "dotted").alias("target"), F.explode("names").alias("name"))
     classes = symbols.where("kind = 'class'").select("name", F.concat("path", F.lit("#"), "dotted").alias("address"), "signature", "path", "ord")

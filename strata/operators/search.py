@@ -87,9 +87,10 @@ def scope(literals: DataFrame, symbols: DataFrame, files: DataFrame, target: Add
     if target.kind == "lines":
         return rows.where(F.col("line").between(target.first, target.last))
     if target.kind == "symbol":
-        spans = F.broadcast(symbols.where((F.col("path") == target.path) & (F.col("dotted") == target.dotted)).select(
-            "span_start", "span_end").limit(CAP))
-        return rows.join(spans, (F.col("byte") >= F.col("span_start")) & (F.col("byte") < F.col("span_end")), "left_semi")
+        spans = symbols.where((F.col("path") == target.path) & (F.col("dotted") == target.dotted)).select(
+            F.col("path").alias("_path"), "span_start", "span_end")
+        inside = (F.col("byte") >= F.col("span_start")) & (F.col("byte") < F.col("span_end"))
+        return rows.join(spans, (F.col("path") == F.col("_path")) & inside, "left_semi")
     return rows
 
 

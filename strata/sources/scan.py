@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+from collections.abc import Callable, Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.address import DOC_FORMATS
+from strata.functions.address import doc_format as format_of
+
+#: Bytes of listed files that one task opens.
+TASK_BYTES = 4 << 20
 
 #: Directories that are not entered, and manifest file names.
 PRUNED = (
@@ -16,39 +25,72 @@ MANIFESTS = (
     "tox.ini").split()
 
 
-def _relative(path: Column, root: str) -> Column:
-    bare = F.regexp_replace(path, r"^[a-z0-9]+:/{1,3}(?=[^/])", "/")
-    return F.when(F.startswith(bare, F.lit(root.rstrip("/") + "/")), F.substr(bare, F.lit(len(root.rstrip("/")) + 2))).otherwise(bare)
+def _entered(name: str) -> bool:
+    return name not in PRUNED and not (name.startswith(".") and len(name) > 1)
 
 
-def pruned(path: Column) -> Column:
-    """Does a relative path run through a directory that is not entered?"""
-    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1))
-    return F.exists(folders, lambda d: d.isin(PRUNED) | (F.startswith(d, F.lit(".")) & (F.length(d) > 1)))
+def list_tree(root: str, wanted: Callable[[str], bool]) -> list[tuple[str, str, int, datetime | None]]:
+    """(relative path, full path, size, time) of the wanted files below root.
 
+    Folders that are not entered are never listed.  Spark's own file sources
+    pass over names that begin with an underscore, ``__init__.py`` among them,
+    so names are listed here and the executors open what is listed.
+    """
+    from pyarrow import fs
+
+    if "://" in root:
+        store, top = fs.FileSystem.from_uri(root)
+        scheme = root.split("://")[0] + "://"
+    else:
+        store, top, scheme = fs.LocalFileSystem(), os.path.abspath(root), ""
+    info = store.get_file_info(top)
+    if info.is_file:
+        return [(info.base_name, scheme + top, info.size, info.mtime)] if wanted(info.base_name) else []
+    out, todo = [], [top] if info.type == fs.FileType.Directory else []
+    while todo:
+        for item in store.get_file_info(fs.FileSelector(todo.pop())):
+            if not scheme and os.path.islink(item.path):
+                continue
+            if item.type == fs.FileType.Directory:
+                if _entered(item.base_name):
+                    todo.append(item.path)
+            elif item.is_file and wanted(item.base_name):
+                out.append((item.path[len(top.rstrip("/")) + 1:], scheme + item.path, item.size, item.mtime))
+    return sorted(out, key=lambda row: row[0].split("/"))
+
+
+def read_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """(path, size, modified, content) of the files below root; a file is itself."""
+    listed = [(path, full, size, time.replace(tzinfo=None) if time else None) for path, full, size, time in list_tree(root, wanted)]
+    schema = "path string, full string, size long, modified timestamp"
+    tasks = max(1, min(len(listed), sum(row[2] or 0 for row in listed) // TASK_BYTES + 1))
+    files = spark.createDataFrame(listed, schema).repartition(tasks)
 
-def _plain(root: str) -> str:
-    return root[7:] if root.startswith("file://") else root
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        for batch in it:
+            for k in range(batch.num_rows):
+                full = batch.column(1)[k].as_py()
+                store, place = fs.FileSystem.from_uri(full) if "://" in full else (fs.LocalFileSystem(), full)
+                with store.open_input_file(place) as src:
+                    body = src.read()
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(0), row.column(2), row.column(3), pa.array([body], pa.binary())],
+                    names=["path", "size", "modified", "content"])
 
-def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, size, modified, content) of the files below root; a file is itself."""
-    rows = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob).load(root))
-    path = _relative(F.col("path"), _plain(root))
-    return rows.select(path.alias("path"), F.col("length").alias("size"),
-                       F.col("modificationTime").alias("modified"), "content").where(~pruned(F.col("path")))
+    return files.mapInArrow(read, "path string, size long, modified timestamp, content binary")
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """Python files of a tree; the language is by extension, as written."""
-    return read_tree(spark, root, "*.{py,pyi}").withColumn("lang", F.lit("python"))
+    return read_tree(spark, root, lambda name: name.endswith((".py", ".pyi"))).withColumn("lang", F.lit("python"))
 
 
 def doc_files(spark: SparkSession, root: str) -> DataFrame:
     """JSON, YAML and Markdown files; the format is by extension in any case."""
-    ends = ",".join("".join(f"[{c}{c.upper()}]" for c in name) for name in DOC_FORMATS)
-    return read_tree(spark, root, "*.{%s}" % ends).withColumn("format", doc_format(F.col("path")))
+    return read_tree(spark, root, lambda name: format_of(name) is not None).withColumn("format", doc_format(F.col("path")))
 
 
 def doc_format(path: Column) -> Column:
@@ -61,9 +103,8 @@ def doc_format(path: Column) -> Column:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """Build manifests at most two levels below the root."""
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = read_tree(spark, root, "{%s,requirements*}" % ",".join(MANIFESTS))
-    return rows.where((F.size(F.split("path", "/")) <= 2) & (name.isin(MANIFESTS) | F.startswith(name, F.lit("requirements"))))
+    rows = read_tree(spark, root, lambda name: name in MANIFESTS or name.startswith("requirements"))
+    return rows.where(F.size(F.split("path", "/")) <= 2)
 
 
 def console_scripts(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,8 +113,6 @@ def console_scripts(manifest: DataFrame, files: DataFrame) -> DataFrame:
     manifest: (path, text); files: (path).  A script's module is looked up as
     ``module.py``, then as ``module/__main__.py``.
     """
-    from pyspark.sql import Window
-
     lines = manifest.where(F.element_at(F.split("path", "/"), -1) == "pyproject.toml").select(
         "path", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("path", "n", F.trim("line").alias("line"))
     down = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
