@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from strata.llm.common import Scratch, batches, open_fs, ordered_id, task_number
 
 BLOCK_BYTES = 4 << 20
-#: Text bytes whose hashes one bucket answers for.
-BUCKET_TEXT = 12 << 20
+#: Text bytes whose hashes one bucket answers for, and the most buckets.  A block
+#: sends each bucket one row, so both bounds keep the number of rows in hand;
+#: corpora beyond their product want larger blocks and workers.
+BUCKET_TEXT = 6 << 20
+MOST_BUCKETS = 1 << 16
 FROZEN = "grp int, block long, n_docs int, n_bytes long, texts binary"
 QUESTION = "bucket int, grp int, block long, blob binary"
 ANSWER = "grp int, block long, bucket int, blob binary"
@@ -145,7 +148,7 @@ class Answers:
 
 
 def n_buckets(n_bytes: int) -> int:
-    return max(1, -(-n_bytes // BUCKET_TEXT))
+    return min(MOST_BUCKETS, max(1, -(-n_bytes // BUCKET_TEXT)))
 
 
 def bucket_bounds(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -204,9 +207,12 @@ def question_batch(grp: int, block: int, bounds: np.ndarray, blobs: Callable[[in
         names=["bucket", "grp", "block", "blob"])
 
 
-def ask(questions: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], scratch: Scratch, tag: str) -> str:
+def ask(questions: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], scratch: Scratch, tag: str, buckets: int) -> str:
     """Let each bucket answer its blocks; returns the folder of the answers.
 
+    The partitions are as many as the buckets: their work follows the text
+    behind them and not the few bytes by which they would be merged.
+
     ``answer(blocks, blobs)`` gives a blob for each blob, in the same order.
     """
 
@@ -220,6 +226,6 @@ def ask(questions: DataFrame, answer: Callable[[list[int], list[bytes]], list[by
             "grp": pa.array([grps[i] for i in order], pa.int32()), "block": pa.array([blocks[i] for i in order], pa.int64()),
             "bucket": pa.array([bucket] * len(order), pa.int32()), "blob": pa.array(said, pa.binary())})
 
-    answers = questions.groupBy("bucket").applyInArrow(meet, ANSWER)
+    answers = questions.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, ANSWER)
     answers.repartition("grp").write.partitionBy("grp").option("compression", "uncompressed").parquet(scratch.path(tag))
     return scratch.path(tag)

@@ -30,6 +30,7 @@ from strata.llm.common import Scratch
 
 WINDOW = 13
 _NO_ID = 2**63 - 1
+_SPREAD = np.uint64(0xA0761D6478BD642F)
 
 
 class Words:
@@ -44,11 +45,14 @@ class Words:
         self.window = window
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window that may start: the place and hash of its anchor."""
+        """For each window that may start: the place and hash of its anchor.
+
+        Anchors are small hashes by choice; mixed again they spread over the buckets.
+        """
         half = self.window // 2 + 1
         grams = textvec.run_hashes(self.h, half)
         chosen = textvec.minima(grams, self.window - half + 1)[self.at]
-        return chosen, grams[chosen]
+        return chosen, textvec.mix(grams[chosen] ^ _SPREAD)
 
     def windows(self) -> np.ndarray:
         return textvec.run_hashes(self.h, self.window)[self.at]
@@ -147,7 +151,7 @@ def repeats(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text:
         known, _several = distinct_anchors(Words(data, offsets, window))
         yield B.question_batch(grp, block, B.bucket_bounds(known, buckets), lambda a, b: B.pack_sorted(known[a:b]))
 
-    level1 = B.ask(B.each_block(frozen, ask_anchors, B.QUESTION), met_elsewhere, scratch, "level1")
+    level1 = B.ask(B.each_block(frozen, ask_anchors, B.QUESTION), met_elsewhere, scratch, "level1", buckets)
 
     def ask_windows(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
         _, hashes, owners = candidates(Words(data, offsets, window), answers, buckets)
@@ -155,7 +159,7 @@ def repeats(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text:
         yield B.question_batch(grp, block, B.bucket_bounds(known, buckets), lambda a, b: B.join_blobs(
             [B.pack_sorted(known[a:b]), B.pack_numbers(ids[least[a:b]])]))
 
-    level2 = B.ask(B.each_block(frozen, ask_windows, B.QUESTION, level1), met_earlier, scratch, "level2")
+    level2 = B.ask(B.each_block(frozen, ask_windows, B.QUESTION, level1), met_earlier, scratch, "level2", buckets)
 
     def judge(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
         words = Words(data, offsets, window)

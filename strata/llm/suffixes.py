@@ -36,13 +36,18 @@ LENGTH = 100
 GRAM = 32
 PIECE = 1 << 18
 _NO_ID = 2**63 - 1
+_SPREAD = np.uint64(0xA0761D6478BD642F)
 
 
 # ---- the transform ----------------------------------------------------------
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes, the empty one included, in the order of their first ``depth``
-    bytes at least; by prefix doubling from packed keys of seven symbols."""
+    bytes at least; by prefix doubling from packed keys of seven symbols.
+
+    Once a suffix stands alone its place is final, so each round sorts only
+    those that still share a rank.
+    """
     n = len(text) + 1
     symbols = np.zeros(n + 7, np.uint64)
     symbols[:n - 1] = text
@@ -50,24 +55,38 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | symbols[k:k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _ranks(key, order)
     length = 7
-    while length < depth and rank[order[-1]] < n - 1:
-        after = np.zeros(n, np.int64)
-        if length < n:
-            after[:n - length] = rank[length:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key, order)
+    while length < depth:
+        ranked = rank[order]
+        alone = np.ones(n, bool)
+        alone[1:] = ranked[1:] != ranked[:-1]
+        alone[:-1] &= ranked[1:] != ranked[:-1]
+        places = np.flatnonzero(~alone)
+        if not len(places):
+            break
+        some = order[places]
+        after = np.zeros(len(some), np.int64)
+        inside = some + length < n
+        after[inside] = rank[some[inside] + length] + 1
+        key = rank[some] * (n + 1) + after
+        again = np.argsort(key)
+        key, some = key[again], some[again]
+        order[places] = some
+        # A rank is the place where its run of equals begins.
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[some] = places[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
         length *= 2
     return order
 
 
 def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each suffix the place where the run of its equals begins."""
     ranked = key[order]
+    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
+    out[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
     return out
 
 
@@ -91,15 +110,20 @@ def expand_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     paired = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1  # rows whose upper neighbour has their symbol
     borders = np.ones(n + 1, bool)
     borders[paired] = False
-    low, high = by_symbol[paired - 1], by_symbol[paired]
+    low, high = by_symbol[paired - 1].astype(np.int32), by_symbol[paired].astype(np.int32)
+    paired = paired.astype(np.int32)
+    done = 0
     for _ in range(length - 1):
         seen = np.cumsum(borders[:n], dtype=np.int32)
-        split = seen[high] > seen[low]
-        if not split.any():
+        split = np.flatnonzero(seen[high] > seen[low])
+        if len(split) == done:  # none but those that were split before
             break
         borders[paired[split]] = True
-        left = ~split
-        paired, low, high = paired[left], low[left], high[left]
+        done = len(split)
+        if 8 * done > len(paired):  # leave out what is settled, now and then
+            left = np.ones(len(paired), bool)
+            left[split] = False
+            paired, low, high, done = paired[left], low[left], high[left], 0
     return order, borders[:n]
 
 
@@ -151,7 +175,8 @@ class Phrases:
         empty = np.zeros(0, np.int64)
         self.start = np.concatenate(begins) if begins else empty
         self.end = np.concatenate(ends) + length if ends else empty
-        self.anchor = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
+        # Anchors are small hashes by choice; mixed again they spread over the buckets.
+        self.anchor = textvec.mix(np.concatenate(anchors) ^ _SPREAD) if anchors else np.zeros(0, np.uint64)
         whole = textvec.word_hashes(data, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
         self.phrase = whole >> np.uint64(16)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
@@ -224,7 +249,7 @@ def send_blob(phrases: Phrases, entries: np.ndarray, ids: np.ndarray, data: np.n
 
 
 #: Phrases of a bucket are transformed in runs of whole anchors of this size.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 
 
 def _phrase_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -293,7 +318,7 @@ def removals(docs: DataFrame, finish, schema: str, id_col: str, text: str, lengt
         bounds = B.bucket_bounds(phrases.anchor[phrases.first], buckets)
         yield B.question_batch(grp, block, bounds, lambda a, b: ask_blob(phrases, ids, a, b))
 
-    round1 = B.ask(B.each_block(frozen, ask, B.QUESTION), settle, scratch, "round1")
+    round1 = B.ask(B.each_block(frozen, ask, B.QUESTION), settle, scratch, "round1", buckets)
 
     def send(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(data, offsets, length, gram)
@@ -302,7 +327,7 @@ def removals(docs: DataFrame, finish, schema: str, id_col: str, text: str, lengt
         cut = np.searchsorted(entries, bounds)
         yield B.question_batch(grp, block, cut, lambda a, b: send_blob(phrases, entries[a:b], ids, data))
 
-    round2 = B.ask(B.each_block(frozen, send, B.QUESTION, round1), interval_answers(length), scratch, "round2")
+    round2 = B.ask(B.each_block(frozen, send, B.QUESTION, round1), interval_answers(length), scratch, "round2", buckets)
     said = B.Answers(round1)
 
     def judge(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
