@@ -16,7 +16,7 @@ from collections.abc import Iterable
 CHUNK_CHARS = 64
 #: The memory of chunks has two generations of this many entries; the older is
 #: dropped when the younger is full, and what was used meanwhile has moved over.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: White space on which Unicode tables of regular-expression engines differ.
@@ -29,10 +29,34 @@ _BYTE_LEVEL = re.compile(
     rf" ?[{_LETTERS}]+(?=[\s!-/:-@\[-`{{-~]|\Z)"
     r"| ?[!-&(-/:-@\[-`{-~]+(?=[\sA-Za-z0-9]|\Z)"
     r"| ?\S+|\s+(?!\S)|\s+")
+#: A chunk that is one pre-token for certain, so the model alone encodes it.
+_ONE = re.compile(rf" ?[{_LETTERS}]+")
 #: For word-end BPE, which drops white space: ASCII white space only.
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[ \t-\r!-&(-/:-@\[-`{{-~]|\Z)|[^ \t-\r]+")
 
 
+class _Chunks(dict):
+    """Encodings by chunk; what is missing is taken from the older generation
+    or encoded, and remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.encode(chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            self[chunk] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -43,8 +67,21 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.cutter = _BYTE_LEVEL if self.byte_level else _WORDS
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # How the library itself writes letters and the space as bytes.
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [chr(c) for c in range(256) if re.fullmatch(f"[{_LETTERS}]", chr(c))]
+        self.spelling = {ord(c): spell(c)[0][0] for c in letters}
+        if self.byte_level:
+            self.spelling[32] = spell(" a")[0][0][0]
+        self.known = _Chunks(self.chunk)
+
+    def chunk(self, chunk: str) -> bytes:
+        """One chunk; a word of letters goes to the model without detours."""
+        if len(chunk) <= CHUNK_CHARS and _ONE.fullmatch(chunk):
+            word = chunk if self.byte_level else chunk.lower()
+            return array("I", [t.id for t in self.model.tokenize(word.translate(self.spelling))]).tobytes()
+        return self.whole(chunk)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -57,25 +94,17 @@ class Encoder:
         return self.cutter.findall(text)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        needed = set().union(*[c for c in cut if c]).difference(self.known)
-        missing = list(needed.difference(self.older))
-        if self.older:
-            older = self.older
-            self.known.update((chunk, older[chunk]) for chunk in needed.intersection(older))
-        once = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(chunk) <= CHUNK_CHARS else once)[chunk] = array("I", got.ids).tobytes()
-        if once:
-            get = lambda chunk: self.known.get(chunk) or once.get(chunk, b"")
-        else:
-            get = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        self.known.turn()
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            cut = self.cut(text)
+            out.append(self.whole(text) if cut is None else b"".join(map(get, cut)))
+        return out
+
+    def rest(self) -> None:
+        """Between tasks, keep no more than one generation."""
+        if len(self.known) + len(self.known.older) > CACHE_ENTRIES:
+            self.known.older = {}
 
 
 _ENCODERS: dict[str, Encoder] = {}
