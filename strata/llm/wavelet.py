@@ -6,9 +6,13 @@ of ones at every BLOCK bits a plane answers rank in constant time, so a file
 gives any token (``access``), counts a token in a range (``count``) and finds
 its occurrences (``occurrences``) without being expanded.
 
+A shard numbers its tokens by frequency, so the upper planes are nearly all
+zeros, which are quick to split and compress well; the file has the numbering.
+
 File: MAGIC, a JSON header with the length of each section, then the sections,
-each compressed with zstd: document ids (int64), document starts (int64), and
-for every plane its packed bits and its block counts (uint32).
+each compressed with zstd: document ids (int64), document starts (int64), tokens
+by frequency (uint32), and for every plane its packed bits and its block counts
+(uint32).
 """
 
 from __future__ import annotations
@@ -29,41 +33,56 @@ MAGIC = b"STRATAWM"
 BLOCK = 512
 LEVEL = 1
 BATCH_BYTES = 2 << 20
-#: Text bytes of a shard, and the most shards of one run; beyond, shards grow.
-SHARD_BYTES = 12 << 20
-MOST_SHARDS = 20_000
+#: Text bytes of a range of ids and the most ranges; tokens of a shard.  A range
+#: larger than a shard writes several, so a task never holds more than one.
+RANGE_BYTES = 12 << 20
+MOST_RANGES = 20_000
+SHARD_TOKENS = 1 << 23
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray], counts: list[np.ndarray]):
-        """planes: packed bits, big bit first; counts: ones ahead of each block."""
-        self.n, self.planes, self.counts = n, planes, counts
+    def __init__(self, planes: list[np.ndarray], counts: list[np.ndarray], n: int, symbols: np.ndarray):
+        """planes: packed bits, big bit first; counts: ones ahead of each block;
+        symbols: the value behind each number."""
+        self.n, self.planes, self.counts, self.symbols = n, planes, counts, symbols
         self.zeros = [n - int(c[-1]) for c in counts]
 
     @classmethod
-    def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        n, at = len(values), values
-        planes, counts = [], []
-        for k in range(bits - 1, -1, -1):
-            ones = (at >> at.dtype.type(k)).astype(np.uint8) & np.uint8(1)
+    def build(cls, values: np.ndarray) -> WaveletMatrix:
+        seen = np.bincount(values) if len(values) else np.zeros(1, np.int64)
+        symbols = np.flatnonzero(seen)
+        symbols = symbols[np.argsort(-seen[symbols], kind="stable")].astype(np.uint32)
+        width = np.uint16 if len(symbols) <= 1 << 16 else np.uint32
+        number = np.zeros(len(seen), width)
+        number[symbols] = np.arange(len(symbols))
+        at, planes, counts = number[values], [], []
+        for k in range(max(1, (len(symbols) - 1).bit_length()) - 1, -1, -1):
+            ones = (at & width(1 << k)) != 0
             packed = np.packbits(ones)
             planes.append(packed)
             counts.append(_block_counts(packed))
-            chosen = ones.view(bool)
-            at = np.concatenate((at[~chosen], at[chosen]))
-        return cls(n, planes, counts)
+            # By places: a mask of random bits is several times slower.
+            at = np.concatenate((at[np.flatnonzero(~ones)], at[np.flatnonzero(ones)]))
+        return cls(planes, counts, len(values), symbols)
 
     def values(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
-        bits, n = len(self.planes), self.n
-        at = np.zeros(n, np.uint16 if bits <= 16 else np.uint32)
+        n = self.n
+        if not n:
+            return np.zeros(0, np.uint32)
+        at = np.zeros(n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            chosen = np.unpackbits(packed, count=n).view(bool)
-            back = np.empty_like(at)
-            back[~chosen] = at[:zeros]
-            back[chosen] = at[zeros:] | at.dtype.type(1 << k)
-            at = back
-        return at
+            if zeros < n:
+                ones = np.unpackbits(packed, count=n).view(bool)
+                back = np.empty_like(at)
+                back[np.flatnonzero(~ones)] = at[:zeros]
+                back[np.flatnonzero(ones)] = at[zeros:] | at.dtype.type(1 << k)
+                at = back
+        return self.symbols[at]
+
+    def _number(self, value: int) -> int | None:
+        found = np.flatnonzero(self.symbols == value)
+        return int(found[0]) if len(found) else None
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones ahead of each position."""
@@ -82,12 +101,12 @@ class WaveletMatrix:
             ones = self._ones(level, at)
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
             out = out << 1 | bit
-        return out
+        return self.symbols[out]
 
-    def _range(self, value: int, low: int, high: int) -> tuple[int, int]:
+    def _range(self, number: int, low: int, high: int) -> tuple[int, int]:
         for level in range(len(self.planes)):
             a, b = self._ones(level, np.array([low, high])).tolist()
-            if value >> (len(self.planes) - 1 - level) & 1:
+            if number >> (len(self.planes) - 1 - level) & 1:
                 low, high = self.zeros[level] + a, self.zeros[level] + b
             else:
                 low, high = low - a, high - b
@@ -95,20 +114,22 @@ class WaveletMatrix:
 
     def count(self, value: int, low: int = 0, high: int | None = None) -> int:
         """Occurrences of a token at positions low up to high."""
-        if value >> len(self.planes):
+        number = self._number(value)
+        if number is None:
             return 0
-        a, b = self._range(value, low, self.n if high is None else high)
+        a, b = self._range(number, low, self.n if high is None else high)
         return b - a
 
     def occurrences(self, value: int, low: int = 0, high: int | None = None) -> list[int]:
         """Positions of a token, by select on every plane from the last up."""
-        if value >> len(self.planes):
+        number = self._number(value)
+        if number is None:
             return []
-        a, b = self._range(value, low, self.n if high is None else high)
+        a, b = self._range(number, low, self.n if high is None else high)
         at = np.arange(a, b)
         for level in range(len(self.planes) - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n)
-            if value >> (len(self.planes) - 1 - level) & 1:
+            if number >> (len(self.planes) - 1 - level) & 1:
                 at = np.flatnonzero(bits)[at - self.zeros[level]]
             else:
                 at = np.flatnonzero(bits == 0)[at]
@@ -131,14 +152,12 @@ def write_shard(ids: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> byte
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
-    bits = max(1, int(tokens.max()).bit_length()) if len(tokens) else 1
-    matrix = WaveletMatrix.build(tokens, bits)
-    sections = [ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes()]
+    matrix = WaveletMatrix.build(tokens)
+    sections = [ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), matrix.symbols.astype("<u4").tobytes()]
     for packed, counts in zip(matrix.planes, matrix.counts, strict=True):
         sections += [packed.tobytes(), counts.astype("<u4").tobytes()]
     sections = [pack(s) for s in sections]
-    header = json.dumps({"tokens": len(tokens), "documents": len(ids), "bits": bits,
-                         "sections": [len(s) for s in sections]}).encode()
+    header = json.dumps({"tokens": len(tokens), "documents": len(ids), "sections": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
 
 
@@ -153,23 +172,24 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     for length in header["sections"]:
         parts.append(unpack(data[at:at + length]))
         at += length
-    planes = [np.frombuffer(p, np.uint8) for p in parts[2::2]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[3::2]]
-    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), WaveletMatrix(header["tokens"], planes, counts)
+    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
+    counts = [np.frombuffer(p, "<u4") for p in parts[4::2]]
+    matrix = WaveletMatrix(planes, counts, header["tokens"], np.frombuffer(parts[2], "<u4"))
+    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), matrix
 
 
 def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts and write the shards; one manifest row a file.
 
-    Shards are ranges of ids in ascending order, cut at quantiles of the ids,
-    so the files in shard order hold the corpus in id order.  Rows of one id
-    stay together.  A null id is written as the largest id and read back null.
+    Ranges of ids are cut at quantiles and sorted, and each writes one shard or
+    several, so the files in (range, shard) order hold the corpus in id order.
+    A null id is written as the largest id and read back null.
     """
     key = ordered_id(id_col)
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    shards = min(MOST_SHARDS, 1 + size // SHARD_BYTES)
-    if shards > 1:
-        cuts = docs.select(F.percentile_approx(key, [k / shards for k in range(1, shards)], 20 * shards)).first()[0]
+    ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
+    if ranges > 1:
+        cuts = docs.select(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
         cuts = sorted(set(cuts))
     else:
         cuts = []
@@ -186,40 +206,42 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_
             packed = [np.frombuffer(c + b"\0\0\0\0", "<u4").astype(narrow).tobytes() for c in coded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([np.dtype(narrow).itemsize] * len(packed), pa.int32()),
-                 pa.array(packed, pa.binary())], names=["shard", "id", "width", "ids"])
+                 pa.array(packed, pa.binary())], names=["range", "id", "width", "ids"])
+        enc.rest()
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, runs, shard = [], [], None
+        ids, runs, held, here, shard = [], [], 0, None, 0
 
         def finish() -> pa.RecordBatch:
             tokens = np.concatenate(runs)
             starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
             data = write_shard(np.array(ids, np.int64), starts, tokens)
-            uri = f"{folder}/shard-{shard:06d}-{task_number()}-{zlib.crc32(data):08x}.wm"
+            uri = f"{folder}/range-{here:06d}-{shard:04d}-{task_number()}-{zlib.crc32(data):08x}.wm"
             put_file(uri, data)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(ids)], pa.int64()),
+                [pa.array([here], pa.int32()), pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(ids)], pa.int64()),
                  pa.array([len(tokens)], pa.int64()), pa.array([len(data)], pa.int64())],
-                names=["shard", "path", "documents", "tokens", "bytes"])
+                names=["range", "shard", "path", "documents", "tokens", "bytes"])
 
         for batch in it:
             for number, doc, width, code in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if shard is not None and number != shard:
+                if runs and (number != here or held >= SHARD_TOKENS):
                     yield finish()
-                    ids, runs = [], []
-                shard = number
+                    ids, runs, held, shard = [], [], 0, shard + 1 if number == here else 0
+                here = number
                 ids.append(doc)
                 runs.append(np.frombuffer(code, f"<u{width}"))
-        if shard is not None:
+                held += len(runs[-1])
+        if runs:
             yield finish()
 
     number = F.size(F.filter(bounds, lambda c: c < key)) if cuts else F.lit(0)
-    coded = docs.select(number.alias("shard"), key.alias("id"), F.col(text).alias("text")).mapInArrow(
-        encode, "shard int, id long, width int, ids binary")
-    ordered = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(
-        "shard", "id", F.crc32("ids"), F.octet_length("ids"))
+    coded = docs.select(number.alias("range"), key.alias("id"), F.col(text).alias("text")).mapInArrow(
+        encode, "range int, id long, width int, ids binary")
+    ordered = coded.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(
+        "range", "id", F.crc32("ids"), F.octet_length("ids"))
     return scratch.keep(ordered.mapInArrow(
-        build, "shard int, path string, documents long, tokens long, bytes long"), "manifest")
+        build, "range int, shard int, path string, documents long, tokens long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame, files: int) -> DataFrame:
@@ -229,15 +251,15 @@ def read(manifest: DataFrame, files: int) -> DataFrame:
         for batch in it:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, starts, matrix = read_shard(get_file(uri))
-                whole = matrix.values().astype("<u4").tobytes()
+                whole = matrix.values().astype("<u4", copy=False).data.cast("B")
                 cut = (4 * starts).tolist()
                 crc = [zlib.crc32(whole[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=ids == 2**63 - 1), pa.array(starts[:-1] + base), pa.array(np.diff(starts)),
                      pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "crc"])
 
-    # One row a shard, MOST_SHARDS at most, meets here.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # One narrow row a shard meets here.
+    before = Window.orderBy("range", "shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     return based.repartition(max(1, files)).mapInArrow(decode, "id long, start long, n_tokens long, crc long")
 

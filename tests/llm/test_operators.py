@@ -297,7 +297,8 @@ def test_packing(docs, rows, nothing, odd, encoders):
 def test_wavelet_round_trip(docs, rows, nothing, odd, encoders, monkeypatch):
     from strata.llm import wavelet
 
-    monkeypatch.setattr(wavelet, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(wavelet, "RANGE_BYTES", 9000)
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 700)
     start = 0
     for r, (doc, text) in zip(wavelet.round_trip(docs).orderBy("doc_id").collect(), rows, strict=True):
         whole = brute.ids(encoders["byte_bpe_50k.json"], text)
