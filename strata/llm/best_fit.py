@@ -8,7 +8,7 @@ logarithmic time.  The result, a table of placements of length ``L`` by rank,
 equals packing the pieces one by one, longest first, over the whole corpus.
 
 Pieces then find their place by their rank among pieces of equal length.  Ranks
-are dealt in SALTS cells for each length, so no length lands in one task.
+are dealt in cells of each length, so no length lands in one task.
 
 Defined results: a null or empty text is the end id alone; repeated rows and
 repeated ids are packed as separate documents; null ids stay null; an empty
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, batches
 
+#: A length's ranks are dealt in this many cells, or in more of CELL_ROWS each.
 SALTS = 64
+CELL_ROWS = 1_000_000
 BATCH_BYTES = 2 << 20
 PIECES = "id long, piece int, start long, length int, crc long"
 
@@ -122,6 +124,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()),
                  pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int64())],
                 names=["id", "piece", "start", "length", "crc"])
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, PIECES)
 
@@ -132,14 +135,17 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     pieces = scratch.keep(cut_pieces(docs, tokenizer, capacity, id_col, text), "pieces")
-    salt = F.pmod(F.xxhash64("id", "piece", "start", "crc"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("salt", salt)
-    # At most capacity lengths, times SALTS.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = F.lit(SALTS)
+    for length, n in histogram.items():
+        if n // CELL_ROWS > SALTS:
+            salts = F.when(F.col("length") == length, n // CELL_ROWS).otherwise(salts)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "crc"), salts).cast("int"))
+    # At most capacity * SALTS + rows / CELL_ROWS cells.
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = scratch.keep(counts.select(
         "length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "cells")
-    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placements = spark.createDataFrame(
         plan(histogram, capacity), "length int, low long, high long, first long, each long, used int")
     in_cell = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "crc")

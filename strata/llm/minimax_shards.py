@@ -9,8 +9,8 @@ fall, and stops when the capacity is exact.
 
 Order of groups: first the groups with more than 1/HEAVY of the rows (fewer
 than HEAVY of them), by digest; then the others by the leading digest bits and
-the digest.  A heavy group's rows are numbered in SALTS cells and a light one's
-in its bucket, so no task gets a hot group whole.
+the digest.  A heavy group's rows are numbered in cells of about CELL_ROWS and a
+light one's in its bucket, so no task gets a hot group whole.
 
 Defined results: a null text counts as an empty one; a null id stays null and
 comes last in its group; repeated rows are separate members of one group; an
@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from strata.llm.common import HEAVY, Scratch, ordered_id
 
 OVERHEAD = 16
+#: Least and most buckets of light groups; least cells of a heavy one; rows that a
+#: cell is meant for.  Cells number at most MOST_BUCKETS + SALTS * HEAVY + rows / CELL_ROWS.
+BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 16
 SALTS = 64
+CELL_ROWS = 1_000_000
 FIRST_CELLS = 512
 FINER = 64
 
@@ -105,16 +109,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str =
     bar = max(SALTS, n // HEAVY)
     heavy_rows = (rows.groupBy("digest").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
                   .where(F.col("n") > bar).orderBy("digest").collect())
-    heavy, base = [], 0
-    for k, row in enumerate(heavy_rows):
-        heavy.append((bytearray(row.digest), k, base, base + row.bytes))
-        base += row.bytes
-    hot = F.broadcast(spark.createDataFrame(heavy, "digest binary, hot int, g_start long, g_end long"))
-    light_from = len(heavy) * SALTS
+    heavy, base, light_from = [], 0, 0
+    for row in heavy_rows:
+        cells = max(SALTS, row.n // CELL_ROWS)
+        heavy.append((bytearray(row.digest), light_from, cells, base, base + row.bytes))
+        base, light_from = base + row.bytes, light_from + cells
+    hot = F.broadcast(spark.createDataFrame(heavy, "digest binary, hot long, cells long, g_start long, g_end long"))
+    buckets = min(MOST_BUCKETS, max(BUCKETS, n // CELL_ROWS))
     order = ordered_id("id")
     celled = rows.join(hot, "digest", "left").withColumn("cell", F.when(
-        F.col("hot").isNotNull(), F.col("hot") * SALTS + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS))
-    ).otherwise(light_from + F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int") % 4096).cast("int"))
+        F.col("hot").isNotNull(), F.col("hot") + F.pmod(F.xxhash64("id", F.lit(7)), "cells")
+    ).otherwise(light_from + F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % buckets))
     cell = Window.partitionBy("cell")
     in_group = Window.partitionBy("cell", "digest")
     to_group = cell.orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -123,7 +128,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str =
         F.sum("size").over(to_group).alias("to_end"), F.sum("size").over(in_group).alias("own"),
         (F.row_number().over(cell.orderBy("digest", order, "id")) - 1).alias("row")), "placed")
     scratch.drop("rows")
-    # At most 4096 buckets and SALTS cells for each of fewer than HEAVY groups.
+    # One row a cell; see the bound above.
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.keep(placed.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("c")).select(
         "cell", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
