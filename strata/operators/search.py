@@ -36,6 +36,11 @@ def matches(text: Column, pattern: str, exact: bool = False) -> Column:
     return text.rlike("(?U)" + re.sub(r"\(\?P<", "(?<", pattern))
 
 
+def matches_whole(text: Column, pattern: str) -> Column:
+    """The pattern must span the text, whatever shorter match it also has."""
+    return matches(text, f"^(?:{pattern})$")
+
+
 def within(rows: DataFrame, paths: list[str] | None) -> DataFrame:
     """Rows of some files or folders; several roots may name a file twice."""
     if not paths:

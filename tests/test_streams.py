@@ -42,3 +42,14 @@ def test_expressions(spark):
     assert row.asDict() == {
         "exports": ["a", "b"], "none": [], "slash": "a/b", "dot": ".", "test": True, "rows": "1,234,567 rows", "key": "k", "prefix": "rb",
         "flat": "a b", "cut": "y" * 57 + "...", "pad": "abc", "arity": "1+"}
+
+
+def test_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from strata.operators.search import matches, matches_whole
+
+    word = F.lit("naïve_go")
+    got = spark.range(1).select(matches(word, "go"), matches(word, "go", True), matches(word, r"^\w+$"), matches_whole(word, r"na\w+"),
+                                matches_whole(word, "go"), matches(word, "(?P<a>g)o")).first()
+    assert tuple(got) == (True, False, True, True, False, True)
