@@ -217,8 +217,10 @@ def by_lines(source: Source) -> list[Symbol]:
             open_blocks.append((indent, len(rows) - 1))
     for number in range(len(rows) - 1, -1, -1):
         row = rows[number]
-        row.last = max([number, *(r.last for r in rows[number + 1:] if r.parent == number)])
+        row.last = max(row.last, number)
         row.descendants = row.last - number
+        if row.parent is not None:
+            rows[row.parent].last = max(rows[row.parent].last, row.last)
     return rows
 
 
@@ -247,17 +249,18 @@ class Enclosing:
     """The innermost symbol over a byte, spans half open."""
 
     def __init__(self, symbols: list[Symbol]):
-        self.symbols = symbols
+        self.symbols, self.starts = symbols, [s.span[0] for s in symbols]
 
     def of(self, byte: int) -> str | None:
-        found, at, end = None, 0, len(self.symbols)
-        while at < end:
+        """From the last symbol that begins at or before the byte, up to the
+        first that reaches over it."""
+        at = bisect_right(self.starts, byte) - 1
+        while at is not None and at >= 0:
             symbol = self.symbols[at]
-            if symbol.span[0] <= byte < symbol.span[1]:
-                found, end, at = symbol.dotted, symbol.last + 1, at + 1
-            else:
-                at = symbol.last + 1
-        return found
+            if byte < symbol.span[1]:
+                return symbol.dotted
+            at = symbol.parent
+        return None
 
 
 def _string_spans(tokens) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
