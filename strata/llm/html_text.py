@@ -1,39 +1,50 @@
-"""Main text of web pages: structure first, a host suffix array for the rest.
+"""Main text of web pages: structure first, a host suffix array over every page.
 
-Each page is cut into segments in page order.  Inside a declared article (or
-main element) text is kept; menus, headers, footers, adverts, forms, comments
-and the like are dropped by element, role or class.  Where a page declares no
-article, text outside those elements is undecided, and the host decides: the
-token streams of its pages are concatenated, a suffix array sorts all suffixes
-by their first MIN_RUN tokens, and every run that also stands on another page
-of the host is boilerplate.  What remains of undecided segments, the unique
-runs, is kept.
+Each page is cut into segments in page order.  Menus, headers, footers, adverts,
+forms, comments and the like are dropped by element, role or class; a declared
+article (or main element) drops what stands outside it.  That takes structure:
+an advert or a menu that no other page has cannot be told by repetition.
 
-A host whose streams exceed GROUP_BYTES is dealt into blocks of pages by a hash
-of the row, and each block has its own array; boilerplate of a large host
-recurs in every block, and no task ever holds a hot host.
+The token streams of all pages of a host, dropped segments included, go through
+the host's suffix array, which sorts all suffixes by their first MIN_RUN tokens.
+A run of MIN_RUN tokens, or a whole segment of MIN_SEGMENT, is boilerplate where
+it stands on one in SHARE of the host's distinct bodies, and on LEAST_BODIES.
+Structure guards what may go: of undecided text any such run, inside an article
+only whole segments of MIN_RUN tokens or more, never a part of one.
+
+Pages with equal text are one body, so copies are no evidence against each other.
+
+A host whose streams exceed GROUP_BYTES is dealt into blocks by body.  What a
+SHARE of the host's bodies have, a SHARE of at least one block's have; so each
+block names its candidates, all blocks count the candidates of all, and the sums
+decide.  The result is that of one array, however the host is dealt.
 
 Defined results: null and empty html give an empty text; markup that never
-closes is read as far as it goes; repeated rows are separate pages, so equal
-undecided pages of a host are boilerplate to each other; a null url is a host
-of its own, by row; an empty table gives an empty result; further columns are
-ignored.  Nothing is capped: pages are read whole.
+closes is read as far as it goes; repeated rows get equal texts; a null url is a
+host of its own, by row; an empty table gives an empty result; further columns
+are ignored.  Nothing is capped: pages are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, attach_unique, batches
+from strata.llm.blocks import expand, squeeze
+from strata.llm.common import Scratch, attach_unique, batches, get_file, put_file
+from strata.llm.textvec import run_hashes
 
-MIN_RUN = 6
+MIN_RUN = 10
+MIN_SEGMENT = 4
+SHARE = 2
+LEAST_BODIES = 3
 GROUP_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20
 KEPT, UNDECIDED, DROPPED = 0, 1, 2
@@ -182,30 +193,33 @@ def segments(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.ndarray]]:
-    """For the tokens of each segment of each page: do they stand in a run that
-    another page has too?
+def _suffixes(pages: list[list[list[str]]], owners: list[int], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of the concatenated streams the number of owners, the hash
+    of its first ``run`` tokens, and whether these stand inside one page.
 
-    The suffix array is built by prefix doubling over the concatenated streams
-    and holds the suffixes in the order of their first ``run`` tokens.  A
-    segment's borders are tokens as well, so short segments repeat as a whole.
+    The suffix array is built by prefix doubling and holds the suffixes in the
+    order of their first ``run`` tokens.  A segment's border is a token as well,
+    so short segments repeat as a whole.  ``owners`` ascend.
     """
     words: dict[str, int] = {"": 0}
     stream: list[int] = []
     page_of: list[int] = []
+    ends: list[int] = []
     for number, page in enumerate(pages):
         for segment in page:
             stream.append(0)
             stream.extend(words.setdefault(w, len(words)) for w in segment)
         stream.append(-1 - number)  # no run crosses a page
         page_of.extend([number] * (len(stream) - len(page_of)))
+        ends.append(len(stream) - 1)
     n = len(stream)
-    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
+    tokens, page_at = np.array(stream, np.int64), np.array(page_of, np.int64)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     length = 1
     while length < run:
         step = min(length, run - length)
         after = np.zeros(n, np.int64)
-        after[:n - step] = rank[step:] + 1
+        after[:max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 2) + after
         order = np.argsort(key, kind="stable")
         fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
@@ -213,11 +227,27 @@ def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.n
         rank[order] = fresh
         length += step
     order = np.argsort(rank, kind="stable")
-    owner, sorted_rank = np.array(page_of)[order], rank[order]
+    owner, sorted_rank = np.array(owners, np.int64)[page_at][order], rank[order]
     first = np.concatenate(([True], sorted_rank[1:] != sorted_rank[:-1]))
+    other = first.copy()
+    other[1:] |= owner[1:] != owner[:-1]
     bounds = np.flatnonzero(first)
-    shared = np.minimum.reduceat(owner, bounds) != np.maximum.reduceat(owner, bounds)
-    starts = order[np.repeat(shared, np.diff(np.concatenate((bounds, [n]))))]
+    count = np.empty(n, np.int64)
+    count[order] = np.repeat(np.add.reduceat(other.astype(np.int64), bounds), np.diff(np.concatenate((bounds, [n]))))
+    table = np.array([_number(w) for w in words], np.uint64)
+    hashes = np.zeros(n, np.uint64)
+    found = run_hashes(np.where(tokens < 0, np.uint64(0), table[np.maximum(tokens, 0)]), run)
+    hashes[:len(found)] = found
+    return count, hashes, np.arange(n) + run <= np.array(ends)[page_at]
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+
+
+def _runs(pages: list[list[list[str]]], starts: np.ndarray, run: int) -> list[list[np.ndarray]]:
+    """Which tokens of each segment stand in a run that begins at one of the starts."""
+    n = sum(1 + sum(1 + len(segment) for segment in page) for page in pages)
     change = np.zeros(n + run + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + run, -1)
@@ -233,6 +263,13 @@ def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.n
     return out
 
 
+def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.ndarray]]:
+    """For the tokens of each segment of each page: do they stand in a run that
+    another page has too?"""
+    count, _, _ = _suffixes(pages, list(range(len(pages))), run)
+    return _runs(pages, np.flatnonzero(count > 1), run)
+
+
 def _whole_runs(hit: np.ndarray, run: int) -> np.ndarray:
     """A run that reaches over a border takes a short segment whole or leaves it."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
@@ -243,38 +280,184 @@ def _whole_runs(hit: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-_SEGMENTS = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
+def _digest(*parts: str) -> bytes:
+    return hashlib.blake2b("\0".join(parts).encode(), digest_size=16).digest()
 
 
 def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it, 1, BATCH_BYTES):
-        texts, open_parts, streams = [], [], []
-        for page in batch.column(1).to_pylist():
+    """Segments as lines, a digit for the kind before each.
+
+    Of equal shapes (kinds and texts but for dropped ones) on a host, the one
+    with the least dropped text counts; a task sends those it cannot rule out.
+    """
+    least: dict[bytes, bytes] = {}
+    for batch in batches(it, 2, BATCH_BYTES):
+        bodies, shapes, asides, streams, sent = [], [], [], [], []
+        for where, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             cut = segments(page or "")
-            undecided = any(kind == UNDECIDED for kind, _ in cut)
-            texts.append(None if undecided else " ".join(text for kind, text in cut if kind == KEPT))
-            open_parts.append([{"kind": k, "text": t} for k, t in cut if k != DROPPED] if undecided else None)
-            streams.append([{"kind": k, "text": t} for k, t in cut if k != KEPT])
+            lines = [f"{kind}{text}" for kind, text in cut]
+            bodies.append(_digest(" ".join(text for kind, text in cut if kind != DROPPED)))
+            shapes.append(_digest(where, *[t for t, (kind, _) in zip(lines, cut, strict=True) if kind != DROPPED]))
+            asides.append(_digest(*lines))
+            streams.append("\n".join(lines))
+            send = bool(cut and where) and asides[-1] < least.get(shapes[-1], b"\xff" * 17)
+            if send:
+                least[shapes[-1]] = asides[-1]
+            sent.append(send)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(open_parts, _SEGMENTS), pa.array(streams, _SEGMENTS)],
-            names=["page", "text", "parts", "stream"])
+            [batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (bodies, shapes, asides)),
+             pa.array(streams, pa.string()), pa.array(sent, pa.bool_())],
+            names=["page", "host", "body", "shape", "aside", "stream", "sent"])
+
+
+class Block:
+    """Pages of a host: for each of its shapes the page with the least dropped
+    text, and the runs and segments of all of them by their hashes."""
+
+    def __init__(self, table: pa.Table):
+        columns = (table.column(c).to_pylist() for c in ("body", "shape", "aside", "stream"))
+        rows = {row[1]: row for row in sorted(zip(*columns, strict=True), reverse=True)}  # the least stays
+        rows = sorted(rows.values())
+        number: dict[bytes, int] = {}
+        owners = [number.setdefault(body, len(number)) for body, *_ in rows]
+        self.bodies, self.shapes = len(number), [shape for _, shape, *_ in rows]
+        lines = [stream.split("\n") for *_, stream in rows]
+        self.kinds = [[int(line[0]) for line in page] for page in lines]
+        self.tokens = [[line[1:].split(" ") for line in page] for page in lines]
+        count, self.hashes, self.inside = _suffixes(self.tokens, owners, MIN_RUN)
+        keys, at = np.unique(self.hashes[self.inside], return_index=True)
+        self.whole = [[_number("\n" + line[1:]) if len(t) >= MIN_SEGMENT else None for line, t in zip(page, told, strict=True)]
+                      for page, told in zip(lines, self.tokens, strict=True)]
+        having: dict[int, set[int]] = {}
+        for owner, page in zip(owners, self.whole, strict=True):
+            for key in page:
+                if key is not None:
+                    having.setdefault(key, set()).add(owner)
+        keys = np.concatenate((keys, np.array(list(having), np.uint64)))
+        count = np.concatenate((count[self.inside][at], np.array([len(x) for x in having.values()], np.int64)))
+        self.keys, first = np.unique(keys, return_index=True)
+        self.count = count[first]
+
+    def candidates(self) -> np.ndarray:
+        return self.keys[SHARE * self.count >= self.bodies]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The number of bodies that have each key."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return np.where(self.keys[at] == keys, self.count[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+
+    def cuts(self, keys: np.ndarray) -> pa.Table:
+        """(shape, cuts) of the pages that lose something to the keys: segment
+        among those not dropped, first token, token after the last."""
+        runs = _runs(self.tokens, np.flatnonzero(self.inside & np.isin(self.hashes, keys)), MIN_RUN)
+        known = set(keys.tolist())
+        shapes, out = [], []
+        for shape, kinds, whole, found in zip(self.shapes, self.kinds, self.whole, runs, strict=True):
+            spans, number = [], -1
+            for kind, key, hit in zip(kinds, whole, found, strict=True):
+                if kind == DROPPED:
+                    continue
+                number += 1
+                if key in known and (kind == UNDECIDED or len(hit) >= MIN_RUN):
+                    spans += [number, 0, len(hit)]
+                elif kind == UNDECIDED and hit.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
+                    for low, high in zip(edges[::2], edges[1::2], strict=True):
+                        spans += [number, low, high]
+            if spans:
+                shapes.append(shape)
+                out.append(np.array(spans, "<i4").tobytes())
+        return pa.table({"shape": pa.array(shapes, pa.binary()), "cuts": pa.array(out, pa.binary())})
+
+
+def _boilerplate(keys: np.ndarray, count: np.ndarray, bodies: int) -> np.ndarray:
+    return keys[(SHARE * count >= bodies) & (count >= LEAST_BODIES)]
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """One host block: what remains of the undecided segments of each page."""
-    rows, streams = table.column("row").to_pylist(), table.column("stream").to_pylist()
-    parts = table.column("parts").to_pylist()
-    tokens = [[s["text"].split() for s in page] for page in streams]
-    marks = repeated(tokens)
-    out = []
-    for page, told, found, mine in zip(streams, tokens, marks, parts, strict=True):
-        if mine is None:
-            continue
-        left = iter([" ".join(w for w, hit in zip(words, hits, strict=True) if not hit)
-                     for s, words, hits in zip(page, told, found, strict=True) if s["kind"] == UNDECIDED])
-        out.append(" ".join(t for t in (next(left) if s["kind"] == UNDECIDED else s["text"] for s in mine) if t))
-    kept = [r for r, mine in zip(rows, parts, strict=True) if mine is not None]
-    return pa.table({"row": pa.array(kept, pa.int64()), "decided": pa.array(out, pa.string())})
+    """A host of one block."""
+    block = Block(table)
+    return block.cuts(_boilerplate(block.keys, block.count, block.bodies))
+
+
+def _across(sent: DataFrame, scratch: Scratch) -> DataFrame:
+    """Hosts of several blocks: candidates of each block, counts in all, cuts.
+
+    What the blocks of a host say meets in one task and goes back to them as a
+    file in the shared folder: candidates and counts, no streams.
+    """
+    dealt = scratch.keep(sent.select("host", "block", "body", "shape", "aside", "stream").groupBy("host", "block").applyInArrow(
+        _freeze, "host string, pages binary"), "blocks", codec="uncompressed")
+    folder = scratch.path("hosts")
+
+    def place(where: str, what: str) -> str:
+        return f"{folder}/{_digest(where).hex()}.{what}"
+
+    def read(where: str, what: str) -> np.ndarray:
+        return np.frombuffer(get_file(place(where, what)), np.uint64)
+
+    def each(work: Callable[[str, Block], pa.RecordBatch]) -> Callable:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for where, pages in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield from work(where, Block(pa.ipc.open_stream(expand(pages.as_py())).read_all())).to_batches()
+        return run
+
+    def name(where: str, block: Block) -> pa.Table:
+        return pa.table({"host": [where], "said": pa.array([block.candidates().tobytes()], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        where = table.column("host")[0].as_py()
+        keys = np.zeros(0, np.uint64)
+        for said in table.column("said"):
+            keys = np.union1d(keys, np.frombuffer(said.as_py(), np.uint64))
+        put_file(place(where, "candidates"), keys.tobytes())
+        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+
+    def tell(where: str, block: Block) -> pa.Table:
+        counts = block.counts(read(where, "candidates"))
+        return pa.table({"host": [where], "bodies": pa.array([block.bodies], pa.int64()),
+                         "said": pa.array([counts.astype(np.int64).tobytes()], pa.binary())})
+
+    def settle(table: pa.Table) -> pa.Table:
+        where = table.column("host")[0].as_py()
+        keys = read(where, "candidates")
+        total = np.zeros(len(keys), np.int64)
+        for said in table.column("said"):
+            total += np.frombuffer(said.as_py(), np.int64)
+        keys = _boilerplate(keys, total, pa.compute.sum(table.column("bodies")).as_py())
+        put_file(place(where, "boilerplate"), keys.tobytes())
+        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+
+    def cut(where: str, block: Block) -> pa.Table:
+        return block.cuts(read(where, "boilerplate"))
+
+    scratch.keep(dealt.mapInArrow(each(name), "host string, said binary").groupBy("host").applyInArrow(gather, "n long"), "named")
+    scratch.keep(dealt.mapInArrow(each(tell), "host string, bodies long, said binary").groupBy("host").applyInArrow(
+        settle, "n long"), "told")
+    return dealt.mapInArrow(each(cut), "shape binary, cuts binary")
+
+
+def _freeze(table: pa.Table) -> pa.Table:
+    sink = pa.BufferOutputStream()
+    rest = table.select(["body", "shape", "aside", "stream"])
+    with pa.ipc.new_stream(sink, rest.schema) as out:
+        out.write_table(rest)
+    return pa.table({"host": [table.column("host")[0].as_py()], "pages": pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())})
+
+
+def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        texts = []
+        for stream, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            lines = [line[1:] for line in stream.split("\n") if line and int(line[0]) != DROPPED]
+            if cuts:
+                words = [line.split(" ") for line in lines]
+                for segment, low, high in np.frombuffer(cuts, "<i4").reshape(-1, 3).tolist()[::-1]:
+                    del words[segment][low:high]
+                lines = [" ".join(w) for w in words if w]
+            texts.append(" ".join(lines))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page", "text"])
 
 
 def host(url: Column) -> Column:
@@ -286,24 +469,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     scratch = Scratch(pages.sparkSession, "html")
     page = F.struct(F.col(id_col).alias("id"), F.col(url).alias("url"))
     schema = pages.select(page.alias("page")).schema["page"].dataType.simpleString()
-    parsed = scratch.keep(pages.select(page.alias("page"), F.col(html).alias("html")).mapInArrow(
-        _parse, f"page {schema}, text string, parts array<struct<kind:int,text:string>>, stream array<struct<kind:int,text:string>>"
-    ).select("page", "text", "parts", "stream", F.monotonically_increasing_id().alias("row"), host(F.col("page.url")).alias("host")), "parsed")
-    decided = parsed.where(F.col("parts").isNull()).select("page", "text")
-    settled = decided
-    if not parsed.where(F.col("parts").isNotNull()).isEmpty():
-        size = F.aggregate("stream", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"]) + 16)
-        # Hosts with an undecided page; a host's blocks follow from its size.
-        sized = parsed.groupBy("host").agg(
-            F.sum(size).alias("bytes"), F.count("parts").alias("open"), F.count("*").alias("n")).where("open > 0").select(
-            "host", "n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / GROUP_BYTES)).alias("blocks"))
-        told = attach_unique(parsed.select("row", "host", "parts", "stream"), scratch.keep(sized, "hosts"), "host", "n", "inner")
-        blocked = told.withColumn("block", F.when(F.col("host") == "", F.col("row")).otherwise(
-            F.pmod(F.xxhash64("row"), F.col("blocks"))))
-        left = blocked.select("row", "host", "block", "parts", "stream").groupBy("host", "block").applyInArrow(
-            _decide, "row long, decided string")
-        undecided = parsed.where(F.col("parts").isNotNull()).select("row", "page").join(left, "row").select(
-            "page", F.col("decided").alias("text"))
-        settled = decided.unionByName(undecided)
-    return settled.select(F.col("page.id").alias(id_col), F.col("page.url").alias(url), "text",
-                          F.length("text").cast("long").alias("n_chars"))
+    parsed = scratch.keep(pages.select(page.alias("page"), host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(
+        _parse, f"page {schema}, host string, body binary, shape binary, aside binary, stream string, sent boolean"), "parsed")
+    sent = parsed.where("sent")
+    # Only hosts of several blocks, at most one for each GROUP_BYTES of all streams.
+    large = scratch.keep(sent.groupBy("host").agg(F.sum(F.length("stream") + 16).alias("bytes")).where(
+        F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("blocks")), "large")
+    some = not large.isEmpty()
+    dealt = sent.join(F.broadcast(large), "host", "left") if some else sent.withColumn("blocks", F.lit(None).cast("long"))
+    cuts = dealt.where("blocks is null").select("host", "body", "shape", "aside", "stream").groupBy("host").applyInArrow(
+        _decide, "shape binary, cuts binary")
+    if some:
+        blocked = dealt.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")))
+        cuts = cuts.unionByName(_across(blocked, scratch))
+    cuts = scratch.keep(cuts, "cuts")
+    if cuts.isEmpty():
+        told = parsed.withColumn("cuts", F.lit(None).cast("binary"))
+    else:
+        weighed = cuts.join(parsed.groupBy("shape").agg(F.count("*").alias("n")), "shape")
+        told = attach_unique(parsed, scratch.keep(weighed, "weighed"), "shape", "n")
+    return told.select("page", "stream", "cuts").mapInArrow(_finish, f"page {schema}, text string").select(
+        F.col("page.id").alias(id_col), F.col("page.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
