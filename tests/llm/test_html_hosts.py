@@ -27,3 +27,22 @@ def test_articles_go_through_the_array(spark):
     for k, t in enumerate(own):  # whole blocks go, parts of a block and short headings stay
         assert got[k] == f"In short {t} {NOTE} {t}"
         assert got[10 + k] == f"{t} {quote if k < 2 else t}"
+
+
+def test_blocks_agree_with_one_array(spark, monkeypatch):
+    from strata.llm import html_text
+
+    r = random.Random(2)
+    rows = []
+    for k in range(60):
+        menu = f"<div>{MENU}</div>" if k % 5 < 3 else ""  # three in five bodies
+        rare = f"<div>{NOTE}</div>" if k % 5 == 4 else ""  # one in five
+        rows.append((k, f"http://a.example/{k}", f"<body>{menu}<p>{line(r)}</p>{rare}<p>The end of it {line(r, 9)}</p></body>"))
+    rows += [(100 + k, "http://a.example/c", rows[0][2]) for k in range(30)]
+    whole = texts(spark, rows)
+    assert not any(MENU in t for t in whole.values()) and sum(NOTE in t for t in whole.values()) == 12
+    assert len({whole[0], *(whole[100 + k] for k in range(30))}) == 1
+    for size in (4000, 700):  # several blocks, then hardly two bodies in one
+        monkeypatch.setattr(html_text, "GROUP_BYTES", size)
+        assert texts(spark, rows) == whole
+        assert texts(spark, rows[::-1]) == whole
