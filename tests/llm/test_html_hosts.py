@@ -46,3 +46,16 @@ def test_blocks_agree_with_one_array(spark, monkeypatch):
         monkeypatch.setattr(html_text, "GROUP_BYTES", size)
         assert texts(spark, rows) == whole
         assert texts(spark, rows[::-1]) == whole
+
+
+def test_copies_and_quotes_stay(spark):
+    r = random.Random(3)
+    story, phrase = line(r), "as was said by all of them on the day"
+    rows = [(k, f"http://a.example/?{k}", f"<body><p>{story}</p></body>") for k in range(4)]
+    rows += [(4, "http://a.example/print", f"<article><p>{story}</p></article>")]
+    own = [line(r) for _ in range(8)]
+    rows += [(10 + k, "http://b.example/", f"<body><p>{t} {phrase if k < 2 else ''} {t}</p></body>") for k, t in enumerate(own)]
+    got = texts(spark, rows)
+    assert {got[k] for k in range(5)} == {story}
+    for k, t in enumerate(own):
+        assert got[10 + k] == (f"{t} {phrase} {t}" if k < 2 else f"{t} {t}")
