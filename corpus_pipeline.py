@@ -19,13 +19,17 @@ from strata.llm.substrings import remove
 from strata.session import ship
 
 
+#: Near duplicates share this much of their sets of five-word shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_kept")).distinct()
+    kept = near_duplicates(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_kept")).distinct()
     return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == kept["_kept"], "left_semi")
 
 

@@ -1,9 +1,9 @@
 """MinHash near-dedup: minima, bands, verification, components.
 
-1. Each document's set of SHINGLE-word shingles gives ROWS * BANDS minima under
+1. Each document's set of shingles gives rows * bands minima under
    universal hash functions.  Documents with equal sets form a class; only its
    smallest id goes on, so a hot group of copies is one row from here.
-2. Classes that agree in all ROWS minima of a band are linked to the smallest
+2. Classes that agree in all rows minima of a band are linked to the smallest
    of the band, which makes stars and not all pairs; large-star and small-star
    turn them into candidate groups.
 3. Inside a candidate group pairs are screened by their signatures and
@@ -13,12 +13,14 @@
    confirmed links of its pairs, which keeps every component.
 4. The forests' components are the result.
 
-A pair at the threshold of 0.85 shares no band with a chance of about 3e-7 and
-fails the screen, set six deviations below, with one of about 1e-9; no other
-step loses a link.  Group sizes, partners and candidates are not capped.
+Shingle size and threshold are parameters; bands and screen follow from the
+threshold.  A pair at it shares no band with a chance of about 3e-7 and fails
+the screen, set six deviations below, with one of about 1e-9; no other step
+loses a link.  Group sizes, partners and candidates are not capped.
 
 Defined results: null and empty texts have an empty set and are linked with
-nothing; a text of one or two words is one shingle; rows that share an id are
+nothing; a text of fewer words than a
+shingle is one shingle; rows that share an id are
 one node, linked if any of their texts is; a null id stays null and comes last;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -26,7 +28,8 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +42,32 @@ from strata.llm.components import components
 
 SHINGLE = 3
 PERCENT = 85
-ROWS, BANDS = 6, 32
-SCREEN = 0.70
+#: Minima of a signature at most, the chance that a pair at the threshold meets
+#: in no band, and the deviations between the threshold and the screen.
+MINIMA = 192
+MISSED = 3e-7
+DEVIATIONS = 5.8
 BLOCK = 1024
 #: Shingles whose pairs one task of small groups confirms.
 TASK_SHINGLES = 1 << 20
 BATCH_BYTES = 2 << 20
 _NO_ID = 2**63 - 1
 _DRAW = np.random.Generator(np.random.PCG64(85))
-_A = _DRAW.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_C = _DRAW.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+_A = _DRAW.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_C = _DRAW.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
+
+
+def banding(percent: int) -> tuple[int, int, int]:
+    """Minima a band, bands, and the equal minima that the screen asks for: the
+    longest bands that MINIMA has enough of."""
+    share = percent / 100
+    for rows in range(MINIMA, 0, -1):
+        chance = share**rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-chance)) if chance < 1 else 1
+        if rows * bands <= MINIMA:
+            n = rows * bands
+            return rows, bands, max(0, int((share - DEVIATIONS * math.sqrt(share * (1 - share) / n)) * n))
+    raise ValueError(f"{percent} percent wants more than {MINIMA} minima")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,23 +93,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return value, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(value: np.ndarray, bounds: np.ndarray, minima: int) -> np.ndarray:
     """The minima of each row, 16 bits of each; rows without shingles are zero."""
-    out = np.zeros((len(bounds) - 1, ROWS * BANDS), np.uint16)
+    out = np.zeros((len(bounds) - 1, minima), np.uint16)
     rows = np.flatnonzero(np.diff(bounds))
     if len(rows):
         x, begin = (value >> np.uint64(32)).astype(np.uint32), bounds[rows]
-        for k in range(ROWS * BANDS):
+        for k in range(minima):
             least = np.minimum.reduceat(x * _A[k] + _C[k], begin)
             out[rows, k] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text: str, shingle: int, minima: int) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1, BATCH_BYTES):
-            value, bounds = shingle_sets(*textvec.buffers(batch.column(1)))
-            marks = signatures(value, bounds)
+            value, bounds = shingle_sets(*textvec.buffers(batch.column(1)), shingle)
+            marks = signatures(value, bounds, minima)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(bounds), pa.int64()),
                  pa.array([_digest(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
@@ -123,9 +142,8 @@ class Forest:
         return True
 
 
-def _screened(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, first below second, whose signatures agree in SCREEN."""
-    least = int(SCREEN * sigs.shape[1])
+def _screened(sigs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, first below second, whose signatures agree in ``least``."""
     left, right = [], []
     step = max(1, (8 << 20) // (len(sigs) * sigs.shape[1]))
     for at in range(0, len(sigs), step):
@@ -137,22 +155,22 @@ def _screened(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def confirmed(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def confirmed(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among rows; rows of different sides only,
     where there are two sides."""
-    left, right = _screened(sigs)
+    left, right = _screened(sigs, least)
     if side.min() != side.max():
         keep = side[left] != side[right]
         left, right = left[keep], right[keep]
     if not len(left):
         return []
     sizes, forest, out = np.array([len(s) for s in sets]), Forest(len(sets)), []
-    fits = 100 * np.minimum(sizes[left], sizes[right]) >= PERCENT * np.maximum(sizes[left], sizes[right])
+    fits = 100 * np.minimum(sizes[left], sizes[right]) >= percent * np.maximum(sizes[left], sizes[right])
     left, right = left[fits], right[fits]
     if len(left) > 8 * len(sets):
         shared = _shared(sets)
         both = shared[left, right]
-        linked = 100 * both >= PERCENT * (sizes[left] + sizes[right] - both)
+        linked = 100 * both >= percent * (sizes[left] + sizes[right] - both)
         for i, j in zip(left[linked].tolist(), right[linked].tolist(), strict=True):
             if forest.join(i, j):
                 out.append((i, j))
@@ -160,7 +178,7 @@ def confirmed(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray) -> lis
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
         if forest.root(i) != forest.root(j):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 forest.join(i, j)
                 out.append((i, j))
     return out
@@ -187,37 +205,46 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirm(table: pa.Table) -> pa.Table:
-    """The tasks of one bucket: each (grp, i, j) is a pair of blocks."""
-    left, right = [], []
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True))
-    tasks: dict[tuple, list[int]] = {}
-    for row, key in enumerate(keys):
-        tasks.setdefault(key, []).append(row)
-    ids, blocks = table.column("id").to_numpy(), table.column("blk").to_numpy()
-    sets, sigs = table.column("shingles"), table.column("sig")
-    for rows in tasks.values():
-        rows = list({(int(ids[r]), sets[r].as_py()): r for r in rows}.values())  # repeated rows are one node
-        values = [np.frombuffer(sets[r].as_py(), np.uint64) for r in rows]
-        marks = np.stack([np.frombuffer(sigs[r].as_py(), np.uint16) for r in rows])
-        for i, j in confirmed(values, marks, blocks[rows]):
-            left.append(int(ids[rows[i]]))
-            right.append(int(ids[rows[j]]))
-    return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id, kept."""
+def _confirmer(percent: int, least: int) -> Callable[[pa.Table], pa.Table]:
+    def confirm(table: pa.Table) -> pa.Table:
+        """The tasks of one bucket: each (grp, i, j) is a pair of blocks."""
+        left, right = [], []
+        keys = list(zip(*(table.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True))
+        tasks: dict[tuple, list[int]] = {}
+        for row, key in enumerate(keys):
+            tasks.setdefault(key, []).append(row)
+        ids, blocks = table.column("id").to_numpy(), table.column("blk").to_numpy()
+        sets, sigs = table.column("shingles"), table.column("sig")
+        for rows in tasks.values():
+            rows = list({(int(ids[r]), sets[r].as_py()): r for r in rows}.values())  # repeated rows are one node
+            values = [np.frombuffer(sets[r].as_py(), np.uint64) for r in rows]
+            marks = np.stack([np.frombuffer(sigs[r].as_py(), np.uint16) for r in rows])
+            for i, j in confirmed(values, marks, blocks[rows], percent, least):
+                left.append(int(ids[rows[i]]))
+                right.append(int(ids[rows[j]]))
+        return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
+
+    return confirm
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, kept.
+
+    Linked are documents whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``percent`` hundredths or more.
+    """
+    per_band, n_bands, least_equal = banding(percent)
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    rows = scratch.keep(sketch(docs, id_col, text), "rows")
+    rows = scratch.keep(sketch(docs, id_col, text, shingle, per_band * n_bands), "rows")
     full = rows.where("n > 0")
     classes = scratch.keep(full.groupBy("digest").agg(
         F.min(F.struct("id", "sig")).alias("least"), F.first("n").alias("n"), F.count("*").alias("members")).select(
         "digest", F.col("least.id").alias("id"), F.col("least.sig").alias("sig"), "n", "members"), "classes")
-    width = 2 * ROWS
+    width = 2 * per_band
     bands = classes.select("id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        F.sequence(F.lit(0), F.lit(n_bands - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))).alias("band"))
     hubs = scratch.keep(bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     stars = attach_unique(bands, hubs, "band", "n", "inner").select(F.col("id").alias("u"), F.col("hub").alias("v"))
@@ -238,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1, BATCH_BYTES):
-            value, bounds = shingle_sets(*textvec.buffers(batch.column(1)))
+            value, bounds = shingle_sets(*textvec.buffers(batch.column(1)), shingle)
             digests = batch.column(2).to_pylist()
             parts = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             right = [k for k, (p, d) in enumerate(zip(parts, digests, strict=True)) if _digest(p) == d]
@@ -256,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         "id", "sig", "shingles", "grp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(
             F.pmod(F.xxhash64("grp", F.least("blk", "o"), F.greatest("blk", "o")), F.lit(2**40)) + 2**40).alias("task"))
-    links = pairs.groupBy("task").applyInArrow(_confirm, "u long, v long")
+    links = pairs.groupBy("task").applyInArrow(_confirmer(percent, least_equal), "u long, v long")
     found = components(links, scratch, "final")
     settled = classes.select("digest", "id", "members").join(
         found.select(F.col("u").alias("id"), F.col("v").alias("least")), "id", "left").select(
