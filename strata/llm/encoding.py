@@ -4,6 +4,8 @@ Encoding a text equals joining the encodings of its chunks wherever the
 tokenizer's own pre-tokenizer is bound to cut.  Both cutters below only cut at
 such places, judged from ASCII and Latin-1 neighbours alone, so they do not
 depend on any library's Unicode tables.  Each distinct chunk is encoded once.
+A text that may hold an added token, such as <|endoftext|>, goes to the library
+whole, which finds these before the pre-tokenizer cuts.
 """
 
 from __future__ import annotations
@@ -58,13 +60,22 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
+    With ``literal`` the library is told to read added tokens as any other text;
+    the operators leave it at its default, which is to find them.
+    """
+
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = None
+        if literal:
+            self.tokenizer.encode_special_tokens = True
+        elif tokens := self.tokenizer.get_added_tokens_decoder():
+            # Whatever the case: some tokenizers match them in lowered text.
+            self.added = re.compile("|".join(re.escape(t.content) for t in tokens.values()), re.IGNORECASE)
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.cutter = _BYTE_LEVEL if self.byte_level else _WORDS
         self.model = self.tokenizer.model
@@ -87,7 +98,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def cut(self, text: str) -> list[str] | None:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or (self.added and self.added.search(text)):
             return None
         if not self.byte_level and not _BEYOND_LATIN.search(text):
             text = text.lower()  # as the tokenizer does; here letter by letter
@@ -113,7 +124,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, literal=False)
     return _ENCODERS[path]
 
 
