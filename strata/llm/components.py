@@ -49,3 +49,5 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         mark, turn = (n, check), turn + 1
         wide = scratch.keep(large_star(now, scratch, f"{tag}{turn}l"), f"{tag}{turn}ls")
         now = scratch.keep(small_star(wide, scratch, f"{tag}{turn}s"), f"{tag}{turn}")
+        for old in (f"{turn - 1}", f"{turn}l", f"{turn}lm", f"{turn}ls", f"{turn}s", f"{turn}sm"):
+            scratch.drop(tag + old)

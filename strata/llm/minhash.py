@@ -6,11 +6,14 @@
 2. Classes that agree in all rows minima of a band are linked to the smallest
    of the band, which makes stars and not all pairs; large-star and small-star
    turn them into candidate groups.
-3. Inside a candidate group pairs are screened by their signatures and
-   confirmed on the full sets.  Groups are cut into blocks of BLOCK classes and
-   every pair of blocks is a task of its own, so a large group is spread and a
-   task holds two blocks at most.  A task returns a spanning forest of the
-   confirmed links of its pairs, which keeps every component.
+3. Inside a candidate group every class is compared with the group's centre, its
+   least id, on the full sets; those linked with it are settled.  The others are
+   screened against all by their signatures and confirmed on the full sets.
+   Groups above BLOCK_BYTES are cut into blocks of that size by their distance
+   from the centre; pairs of blocks that the triangle inequality cannot rule out
+   are tasks of their own (``large_links``), and a task holds two blocks.  A
+   task returns a spanning forest of the confirmed links of its pairs, which
+   keeps every component.
 4. The forests' components are the result.
 
 Shingle size and threshold are parameters; bands and screen follow from the
@@ -21,7 +24,8 @@ loses a link.  Group sizes, partners and candidates are not capped.
 Defined results: null and empty texts have an empty set and are linked with
 nothing; a text of fewer words than a
 shingle is one shingle; rows that share an id are
-one node, linked if any of their texts is; a null id stays null and comes last;
+one node, linked if any of their texts is; a null id stays null and comes last
+(the id 2**63 - 1 is reserved for it, here and in the other operators);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,11 +37,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import textvec
-from strata.llm.common import Scratch, attach_unique, batches, ordered_id
+from strata.llm.common import Scratch, attach_unique, batches, get_file, ordered_id, put_file
 from strata.llm.components import components
 
 SHINGLE = 3
@@ -47,9 +51,15 @@ PERCENT = 85
 MINIMA = 192
 MISSED = 3e-7
 DEVIATIONS = 5.8
-BLOCK = 1024
-#: Shingles whose pairs one task of small groups confirms.
-TASK_SHINGLES = 1 << 20
+#: Sets and signatures of a block; larger groups are cut into blocks.
+BLOCK_BYTES = 2 << 20
+#: Sets and signatures that one task of small groups confirms, on average.
+TASK_BYTES = 8 << 20
+#: Rows whose signatures are compared at once, columns of an incidence matrix.
+LEFT, RIGHT, COLUMNS = 128, 512, 4096
+#: Partitions of block pairs at most; a partition takes its pairs one by one.
+MOST_TASKS = 20_000
+SEEN = 100_000
 BATCH_BYTES = 2 << 20
 _NO_ID = 2**63 - 1
 _DRAW = np.random.Generator(np.random.PCG64(85))
@@ -141,92 +151,230 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
         return True
 
-
-def _screened(sigs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, first below second, whose signatures agree in ``least``."""
-    left, right = [], []
-    step = max(1, (8 << 20) // (len(sigs) * sigs.shape[1]))
-    for at in range(0, len(sigs), step):
-        same = (sigs[at:at + step, None, :] == sigs[None, :, :]).sum(2, dtype=np.uint16)
-        i, j = np.nonzero(same >= least)
-        i += at
-        left.append(i[i < j])
-        right.append(j[i < j])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def confirmed(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows; rows of different sides only,
-    where there are two sides."""
-    left, right = _screened(sigs, least)
-    if side.min() != side.max():
-        keep = side[left] != side[right]
-        left, right = left[keep], right[keep]
-    if not len(left):
-        return []
-    sizes, forest, out = np.array([len(s) for s in sets]), Forest(len(sets)), []
-    fits = 100 * np.minimum(sizes[left], sizes[right]) >= percent * np.maximum(sizes[left], sizes[right])
-    left, right = left[fits], right[fits]
-    if len(left) > 8 * len(sets):
-        shared = _shared(sets)
-        both = shared[left, right]
-        linked = 100 * both >= percent * (sizes[left] + sizes[right] - both)
-        for i, j in zip(left[linked].tolist(), right[linked].tolist(), strict=True):
-            if forest.join(i, j):
-                out.append((i, j))
-        return out
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        if forest.root(i) != forest.root(j):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                forest.join(i, j)
-                out.append((i, j))
-    return out
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in rows.tolist()], np.int64)
+
+
+class Sets:
+    """Shingle sets and signatures of some classes, as Arrow has them, in the order of their ids."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks().sort_by("id")
+        self.table, self.ids = table, table.column("id").to_numpy()
+        self.value, bounds = _numbers(table.column("shingles"), np.uint64)
+        self.bounds, self.sizes = bounds, np.diff(bounds)
+        marks, ends = _numbers(table.column("sig"), np.uint16)
+        self.marks = marks.reshape(len(self.ids), -1) if len(ends) > 1 else marks.reshape(0, 1)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.value[self.bounds[row]:self.bounds[row + 1]]
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = textvec.buffers(column.combine_chunks())
+    return data.view(kind), offsets // np.dtype(kind).itemsize
+
+
+def shared_with(one: np.ndarray, value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with each of many."""
+    at = np.searchsorted(one, value)
+    at[at == len(one)] = 0
+    sums = np.concatenate(([0], np.cumsum(one[at] == value)))
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def _similar(both: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (left + right - both)
+
+
+def _shared(s: Sets, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all left with all right rows, by products of
+    incidence matrices over the shingles that both sides have."""
+    parts = []
+    for rows in (left, right):
+        value = np.concatenate([s.of(r) for r in rows.tolist()])
+        parts.append((value, np.repeat(np.arange(len(rows)), s.sizes[rows])))
+    common = np.intersect1d(parts[0][0], parts[1][0])
+    cells = []
+    for value, owner in parts:
+        at = np.minimum(np.searchsorted(common, value), max(0, len(common) - 1))
+        keep = common[at] == value if len(common) else np.zeros(len(value), bool)
+        column, owner = at[keep], owner[keep]
+        order = np.argsort(column, kind="stable")
+        cells.append((column[order], owner[order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        dense = []
+        for (column, owner), n in zip(cells, (len(left), len(right)), strict=True):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(common) - at)), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T  # whole numbers below 2**24 are exact
+    return out.astype(np.int64)
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of the incidence matrix."""
-    value = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
-    keep = count[column] > 1
-    owner, column = owner[keep], column[keep]
-    column = np.unique(column, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(64, (16 << 20) // (4 * len(sets)))
-    top = int(column[-1]) + 1 if len(column) else 0
-    for at in range(0, top, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[a:b], column[a:b] - at] = 1
-        out += part @ part.T  # whole numbers below 2**24 are exact
-    return out.astype(np.int64)
+def link(s: Sets, left: np.ndarray, right: np.ndarray, forest: Forest, percent: int, least: int) -> Iterator[tuple[int, int]]:
+    """Links of left with right rows, but for those between rows that are connected
+    already.  A pair of rows that both sides have is taken once."""
+    among = np.zeros(len(s), bool)
+    among[left] = True
+    for a in (left[k:k + LEFT] for k in range(0, len(left), LEFT)):
+        for b in (right[k:k + RIGHT] for k in range(0, len(right), RIGHT)):
+            roots, others = forest.roots(a), forest.roots(b)
+            if len(np.unique(np.concatenate((roots, others)))) == 1:
+                continue
+            same = (s.marks[a][:, None, :] == s.marks[b][None, :, :]).sum(2, dtype=np.uint16)
+            i, j = np.nonzero(same >= least)
+            x, y = s.sizes[a][i], s.sizes[b][j]
+            keep = (roots[i] != others[j]) & (~among[b][j] | (a[i] < b[j])) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+            if len(i) > 4 * (len(a) + len(b)):
+                linked = _similar(_shared(s, a, b)[i, j], x, y, percent)
+                pairs = zip(a[i[linked]].tolist(), b[j[linked]].tolist(), strict=True)
+            else:
+                pairs = ((u, v) for u, v in zip(a[i].tolist(), b[j].tolist(), strict=True)
+                         if forest.root(u) != forest.root(v) and _similar(
+                             len(np.intersect1d(s.of(u), s.of(v), assume_unique=True)), s.sizes[u], s.sizes[v], percent))
+            for u, v in pairs:
+                if forest.join(u, v):
+                    yield u, v
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+
+
+def group_links(s: Sets, percent: int, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of a group's links: first those of the centre, its least
+    id, then those of the classes that are not linked with it."""
+    forest, out = Forest(len(s)), []
+    near = np.flatnonzero(_similar(shared_with(s.of(0), s.value, s.bounds), s.sizes[0], s.sizes, percent))
+    out += [(int(s.ids[0]), int(s.ids[r])) for r in near.tolist() if forest.join(0, r)]
+    rest = np.setdiff1d(np.arange(1, len(s)), near)
+    out += [(int(s.ids[u]), int(s.ids[v])) for u, v in link(s, rest, np.arange(len(s)), forest, percent, least)]
+    return out
 
 
 def _confirmer(percent: int, least: int) -> Callable[[pa.Table], pa.Table]:
     def confirm(table: pa.Table) -> pa.Table:
-        """The tasks of one bucket: each (grp, i, j) is a pair of blocks."""
-        left, right = [], []
-        keys = list(zip(*(table.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True))
-        tasks: dict[tuple, list[int]] = {}
-        for row, key in enumerate(keys):
-            tasks.setdefault(key, []).append(row)
-        ids, blocks = table.column("id").to_numpy(), table.column("blk").to_numpy()
-        sets, sigs = table.column("shingles"), table.column("sig")
-        for rows in tasks.values():
-            rows = list({(int(ids[r]), sets[r].as_py()): r for r in rows}.values())  # repeated rows are one node
-            values = [np.frombuffer(sets[r].as_py(), np.uint64) for r in rows]
-            marks = np.stack([np.frombuffer(sigs[r].as_py(), np.uint16) for r in rows])
-            for i, j in confirmed(values, marks, blocks[rows], percent, least):
-                left.append(int(ids[rows[i]]))
-                right.append(int(ids[rows[j]]))
-        return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
+        """The whole groups of one bucket."""
+        table = table.combine_chunks()
+        groups = table.column("grp").to_numpy()
+        order = np.argsort(groups, kind="stable")
+        out = []
+        for rows in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+            out += group_links(Sets(_once(table.take(pa.array(rows)))), percent, least)
+        return _edges(out)
 
     return confirm
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """One row of each id and set: repeated rows are one node."""
+    rows = {key: k for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("id", "digest")), strict=True))}
+    return table if len(rows) == table.num_rows else table.take(pa.array(sorted(rows.values())))
+
+
+def _set_of(folder: str, name: str) -> np.ndarray:
+    return np.frombuffer(get_file(f"{folder}/{name}"), np.uint64)
+
+
+def large_links(full: DataFrame, scratch: Scratch, percent: int, least: int) -> DataFrame:
+    """Links of the groups above BLOCK_BYTES, as (u, v).
+
+    Every class is compared with its group's centre, whose set is a file in the
+    shared folder.  Those linked with it are one component.  The others lie
+    in blocks of equal distance, and a block of theirs is compared with every
+    block that the triangle inequality (Jaccard distance is a metric) does not
+    rule out.  Blocks are files as well, so a task holds two of them at most
+    and no set is sent twice through a shuffle.
+    """
+    folder, far = scratch.path("large"), 10 * (100 - percent) + 2
+
+    def note(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for grp, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                put_file(f"{folder}/centre-{grp}", values)
+            yield batch.select(["grp"])
+
+    centres = full.where("id = grp").groupBy("grp").agg(F.min(F.struct("digest", "shingles")).alias("c")).select("grp", "c.shingles")
+    scratch.keep(centres.mapInArrow(note, "grp long"), "centres")
+
+    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in it:
+            linked, far_off = [], []
+            for grp, values in zip(batch.column("grp").to_pylist(), batch.column("shingles"), strict=True):
+                if grp not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[grp] = _set_of(folder, f"centre-{grp}")
+                own = np.frombuffer(values.as_buffer(), np.uint64)
+                both = len(np.intersect1d(own, known[grp], assume_unique=True))
+                union = len(own) + len(known[grp]) - both
+                linked.append(100 * both >= percent * union)
+                far_off.append(1000 * (union - both) // union + (not linked[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "digest", "sig", "shingles", "grp")), pa.array(linked), pa.array(far_off, pa.int32())],
+                names=["id", "digest", "sig", "shingles", "grp", "linked", "q"])
+
+    measured = scratch.keep(full.select("id", "digest", "sig", "shingles", "grp").mapInArrow(
+        measure, "id long, digest binary, sig binary, shingles binary, grp long, linked boolean, q int"), "measured")
+    cell = F.struct("grp", "linked", "q").alias("cell")
+    sizes = measured.select(cell, (F.octet_length("shingles") + F.octet_length("sig")).alias("bytes")).groupBy("cell").agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    # At most a thousand distances a group meet in a window.
+    before = Window.partitionBy("cell.grp", "cell.linked").orderBy("cell.q").rowsBetween(Window.unboundedPreceding, -1)
+    cells = scratch.keep(sizes.select(
+        "cell", "n", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / BLOCK_BYTES).alias("first"),
+        F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts")), "cells")
+    dealt = attach_unique(measured.withColumn("cell", cell), cells, "cell", "n", "inner").withColumn(
+        "block", F.col("first") + F.pmod(F.xxhash64("id", "digest"), F.col("parts")))
+
+    def write(table: pa.Table) -> pa.Table:
+        grp, linked, block = (table.column(c)[0].as_py() for c in ("grp", "linked", "block"))
+        sink = pa.BufferOutputStream()
+        rest = _once(table.select(["id", "digest", "sig", "shingles"]).combine_chunks())
+        with pa.ipc.new_stream(sink, rest.schema) as out:
+            out.write_table(rest)
+        put_file(f"{folder}/{grp}-{int(linked)}-{block}", sink.getvalue())
+        q = table.column("q").to_numpy()
+        return pa.table({"grp": [grp], "linked": [linked], "block": [block], "low": pa.array([q.min()], pa.int32()), "high": pa.array([q.max()], pa.int32())})
+
+    blocks = scratch.keep(dealt.select("id", "digest", "sig", "shingles", "grp", "linked", "q", "block").groupBy(
+        "grp", "linked", "block").applyInArrow(write, "grp long, linked boolean, block long, low int, high int"), "blocks")
+    a, b = blocks.where("not linked").alias("a"), blocks.alias("b")
+    pairs = scratch.keep(a.join(b, F.col("a.grp") == F.col("b.grp")).where(
+        (F.col("b.linked") | (F.col("b.block") >= F.col("a.block")))
+        & (F.col("b.low") <= F.col("a.high") + far) & (F.col("a.low") <= F.col("b.high") + far)).select(
+        "a.grp", F.col("a.block").alias("i"), F.col("b.linked").cast("int").alias("linked"), F.col("b.block").alias("j")), "pairs")
+
+    def read(name: str) -> pa.Table:
+        return pa.ipc.open_stream(get_file(f"{folder}/{name}")).read_all()
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for grp, i, linked, j in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                parts = [read(f"{grp}-0-{i}")] + ([] if (i, 0) == (j, linked) else [read(f"{grp}-{linked}-{j}")])
+                both = pa.concat_tables([p.append_column("side", pa.array([k] * len(p), pa.int8())) for k, p in enumerate(parts)])
+                s = Sets(both)
+                side = s.table.column("side").to_numpy()
+                forest = Forest(len(s))
+                right = np.flatnonzero(side == len(parts) - 1)
+                if linked:
+                    for r in right[1:].tolist():
+                        forest.join(int(right[0]), r)
+                found = [(int(s.ids[u]), int(s.ids[v])) for u, v in link(s, np.flatnonzero(side == 0), right, forest, percent, least)]
+                yield from _edges(found).to_batches()
+
+    compared = pairs.repartition(max(1, min(pairs.count(), MOST_TASKS))).mapInArrow(compare, "u long, v long")
+    return compared.unionByName(measured.where("linked").select(F.col("id").alias("u"), F.col("grp").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept.
@@ -252,38 +400,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = grouped.groupBy("v").agg(F.count("*").alias("n"))
     nodes = scratch.keep(grouped.select(F.col("u").alias("id"), F.col("v").alias("grp")).unionByName(
         least.select(F.col("v").alias("id"), F.col("v").alias("grp"))), "nodes")
-    sizes = scratch.keep(nodes.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    # Blocks of BLOCK classes; a class goes to the tasks of its block with every other.
-    dealt = attach_unique(nodes, sizes, "grp", "size", "inner").withColumn(
-        "blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
-        "blk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks").cast("long")).cast("int"))
-    picked = classes.select("id", "digest", "sig", "n").join(dealt, "id")
-    wide = picked.withColumnRenamed("id", "node").join(
-        docs.select(ordered_id(id_col).alias("node"), F.col(text).alias("text")), "node")
-    totals = picked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = 1 + totals // TASK_SHINGLES
+    weight = 8 * F.col("n") + 2 * per_band * n_bands
+    sizes = scratch.keep(classes.select("id", "n").join(nodes, "id").groupBy("grp").agg(
+        F.count("*").alias("size"), F.sum(weight).alias("bytes")), "sizes")
+    dealt = attach_unique(nodes, sizes, "grp", "size", "inner")
+    picked = classes.select(F.col("id").alias("node"), "id", "digest", "sig").join(dealt, "id")
+    wide = picked.drop("id").join(docs.select(ordered_id(id_col).alias("node"), F.col(text).alias("text")), "node")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()  # repeated rows of an id mostly stand together
         for batch in batches(it, 1, BATCH_BYTES):
             value, bounds = shingle_sets(*textvec.buffers(batch.column(1)), shingle)
-            digests = batch.column(2).to_pylist()
             parts = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            right = [k for k, (p, d) in enumerate(zip(parts, digests, strict=True)) if _digest(p) == d]
-            if right:
-                take = batch.take(pa.array(right))
+            keep = []
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if key not in seen and _digest(parts[k]) == key[1]:
+                    keep.append(k)
+                    seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
+            if keep:
+                take = batch.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
-                    [take.column(0), take.column(3), take.column(4), take.column(5), take.column(6),
-                     pa.array([parts[k].tobytes() for k in right], pa.binary())],
-                    names=["id", "sig", "grp", "blocks", "blk", "shingles"])
-
-    full_sets = wide.select("node", "text", "digest", "sig", "grp", "blocks", "blk").mapInArrow(
-        sets, "id long, sig binary, grp long, blocks int, blk int, shingles binary")
-    pairs = full_sets.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "id", "sig", "shingles", "grp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(
-            F.pmod(F.xxhash64("grp", F.least("blk", "o"), F.greatest("blk", "o")), F.lit(2**40)) + 2**40).alias("task"))
-    links = pairs.groupBy("task").applyInArrow(_confirmer(percent, least_equal), "u long, v long")
+                    [take.column(0), *(take.column(c) for c in (2, 3, 4, 5)), pa.array([parts[k].tobytes() for k in keep], pa.binary())],
+                    names=["id", "digest", "sig", "grp", "bytes", "shingles"])
+
+    full = scratch.keep(wide.select("node", "text", "digest", "sig", "grp", "bytes").mapInArrow(
+        sets, "id long, digest binary, sig binary, grp long, bytes long, shingles binary"), "sets")
+    small, large = sizes.where(F.col("bytes") <= BLOCK_BYTES), sizes.where(F.col("bytes") > BLOCK_BYTES)
+    tasks = 1 + (small.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // TASK_BYTES)
+    links = full.where(F.col("bytes") <= BLOCK_BYTES).withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks))).select(
+        "task", "id", "digest", "sig", "grp", "shingles").groupBy("task").applyInArrow(_confirmer(percent, least_equal), "u long, v long")
+    if not large.isEmpty():
+        links = links.unionByName(large_links(full.where(F.col("bytes") > BLOCK_BYTES), scratch, percent, least_equal))
     found = components(links, scratch, "final")
     settled = classes.select("digest", "id", "members").join(
         found.select(F.col("u").alias("id"), F.col("v").alias("least")), "id", "left").select(

@@ -153,7 +153,7 @@ def test_minhash(docs, rows, nothing, odd):
 def test_minhash_blocks(docs, rows, monkeypatch):
     from strata.llm import minhash
 
-    monkeypatch.setattr(minhash, "BLOCK", 3)  # groups spread over pairs of blocks
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)  # groups spread over pairs of blocks
     component, _ = brute.components(rows)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == component
 
