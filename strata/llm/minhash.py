@@ -54,7 +54,7 @@ DEVIATIONS = 5.8
 #: Sets and signatures of a block; larger groups are cut into blocks.
 BLOCK_BYTES = 2 << 20
 #: Sets and signatures that one task of small groups confirms, on average.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 #: Rows whose signatures are compared at once, columns of an incidence matrix.
 LEFT, RIGHT, COLUMNS = 128, 512, 4096
 #: Partitions of block pairs at most; a partition takes its pairs one by one.

@@ -6,14 +6,22 @@ Each page gives a request, a response or revisit, and a metadata record, tied
 by WARC-Concurrent-To.  Records are separate gzip members, as the format's
 convention has it, so a reader can start at any of them.
 
+Record ids are made of the page's id, url and payload digest and of a number
+among equal rows, all known before anything is dealt out, so they are the same
+in every attempt and under any partitioning.  A revisit names its response by
+WARC-Refers-To.
+
 Reading: every file is parsed from its bytes.  ``assemble`` joins request and
 metadata records to their response through the concurrent-to identifiers, in
-either direction, and emits one nested row a capture.
+either direction, and emits one nested row a capture.  ``round_trip`` finds the
+page that a revisit refers to by joining WARC-Refers-To to the record ids.
 
 Defined results: a null html is an empty payload; a null url writes no target;
-repeated rows of one id are captures of their own; a null id comes last in its
-group and is read back null; an empty table writes no archive.  Records that
-name no capture in the files come out as captures without a response.
+repeated rows are captures of their own, and of one id with several payloads
+each belongs to the group of its payload; a null id comes last in its group, is
+written as no page id and read back null; an empty table writes no archive.
+Records that name no capture in the files come out as captures without a
+response, and a revisit of a record that is not there refers to null.
 """
 
 from __future__ import annotations
@@ -24,24 +32,23 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, attach_unique, get_file, ordered_id, put_file, task_number
+from strata.llm.common import Scratch, attach_unique, get_file, put_file, task_number
 
 MIN_REVISIT = 100
 ROLL_BYTES = 48 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "strata:capture")
-_NO_ID = 2**63 - 1
 
 RECORDS = ("record_id string, type string, concurrent_to string, refers_to string, uri string, date string, "
            "status int, payload_bytes long, payload_digest string, fields map<string,string>, payload binary")
 
 
-def record_id(page: int, turn: int, role: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page}/{turn}/{role}')}>"
+def record_id(name: str, turn: int, role: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{name}/{turn}/{role}')}>"
 
 
 def record(kind: str, rid: str, block: bytes, content_type: str, **more: str | None) -> bytes:
@@ -58,45 +65,45 @@ def _safe(url: str | None) -> str | None:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def capture(page: int, turn: int, url: str | None, payload: bytes, first: int | None) -> list[bytes]:
-    """The three records of a page; first: the id of the response it repeats."""
-    target, digest = _safe(url), hashlib.sha256(payload).hexdigest()
+def capture(name: str, turn: int, page: int | None, url: str | None, payload: bytes, digest: str, first: str | None) -> list[bytes]:
+    """The three records of a page; name: its row's; first: that of the response it repeats."""
+    target = _safe(url)
     kind = "response" if first is None else "revisit"
-    main = record_id(page, turn, "main")
+    main = record_id(name, turn, "main")
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     more = {"Target_URI": target, "Payload_Digest": f"sha256:{digest}"}
-    note = {"page-id": str(page)}
     if first is not None:
         more |= {"Profile": PROFILE, "Refers_To": record_id(first, 0, "main")}
-        note["refers-to-page-id"] = str(first)
     ask = f"GET {target or '/'} HTTP/1.1\r\nAccept: text/html\r\n\r\n".encode()
-    tell = "".join(f"{k}: {v}\r\n" for k, v in note.items()).encode()
+    tell = b"" if page is None else f"page-id: {page}\r\n".encode()
     return [
-        record("request", record_id(page, turn, "request"), ask, "application/http;msgtype=request",
+        record("request", record_id(name, turn, "request"), ask, "application/http;msgtype=request",
                Target_URI=target, Concurrent_To=main),
         record(kind, main, http + (payload if first is None else b""), "application/http;msgtype=response", **more),
-        record("metadata", record_id(page, turn, "metadata"), tell, "application/warc-fields",
+        record("metadata", record_id(name, turn, "metadata"), tell, "application/warc-fields",
                Target_URI=target, Concurrent_To=main)]
 
 
 def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the archives; one manifest row a file."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    wide = pages.select(ordered_id(id_col).alias("id"), F.col(url).alias("url"), body.alias("html"),
-                        F.unhex(F.sha2(body, 256)).alias("digest"))
-    long_enough = wide.where(F.octet_length("html") >= MIN_REVISIT).select("id", "digest")
-    groups = long_enough.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    narrow = scratch.keep(long_enough, "ids")
-    revisits = (attach_unique(narrow, scratch.keep(groups, "groups"), "digest", "n", "inner")
-                .where("id <> first").select("id", "digest", "first").distinct())
-    # Every (id, digest) has one row there, and the left side is spread by id.
-    told = wide.join(revisits, ["id", "digest"], "left").sortWithinPartitions("id", "digest", "url")
+    wide = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"))
+    wide = wide.withColumn("name", F.sha2(F.to_json(F.struct("id", "url", "digest")), 256))
+    # Equal rows are one here, whose number is ``times``.
+    rows = scratch.keep(wide.groupBy("name", "id", "url", "digest", (F.octet_length("html") >= MIN_REVISIT).alias("large")).agg(
+        F.count("*").alias("times")), "rows")
+    large = rows.where("large").select("name", "id", "digest")
+    groups = rows.where("large").groupBy("digest").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", F.col("url").isNull(), "url", "name")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = attach_unique(large, scratch.keep(groups, "groups"), "digest", "n", "inner").where(
+        ~F.col("id").eqNullSafe(F.col("first.id"))).select("name", F.col("first.name").alias("first"))
+    told = numbered(wide, rows.where("times > 1").select("name", "times")).join(revisits, "name", "left")
     folder = scratch.path("archives")
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = record("warcinfo", f"<urn:uuid:{uuid.uuid5(_NAMES, 'info')}>", b"format: WARC File Format 1.1\r\n",
                       "application/warc-fields")
-        parts, held, pages, files, last, turn = [info], 0, 0, 0, None, 0
+        parts, held, pages, files = [info], 0, 0, 0
 
         def finish() -> pa.RecordBatch:
             data = b"".join(parts)
@@ -107,10 +114,8 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url: str
                 names=["path", "captures", "bytes"])
 
         for batch in it:
-            for page, link, payload, first in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                turn = turn + 1 if page == last else 0
-                last = page
-                made = capture(page, turn, link, payload, first)
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                made = capture(*row)
                 parts += made
                 held, pages = held + sum(map(len, made)), pages + 1
                 if held >= ROLL_BYTES:
@@ -119,10 +124,25 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url: str
         if pages:
             yield finish()
 
-    return scratch.keep(told.select("id", "url", "html", "first").mapInArrow(
+    return scratch.keep(told.select("name", "turn", "id", "url", "html", "digest", "first").mapInArrow(
         work, "path string, captures long, bytes long"), "manifest")
 
 
+def numbered(wide: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows with their number among equal ones, ``turn``.
+
+    Equal rows are alike, so their number is all there is to them: they are
+    brought down to one, before any shuffle, and laid out again.
+    """
+    if repeated.isEmpty():
+        return wide.withColumn("turn", F.lit(0))
+    marked = wide.join(repeated, "name", "left")
+    once = marked.where("times is null").drop("times").withColumn("turn", F.lit(0))
+    fields = [c for c in wide.columns if c != "name"]
+    many = marked.where("times is not null").groupBy("name").agg(*[F.first(c).alias(c) for c in [*fields, "times"]])
+    return once.unionByName(many.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1))).drop("times"))
+
+
 def members(data: bytes) -> Iterator[bytes]:
     """The records of a gzip archive, one after another."""
     view, at = memoryview(data), 0
@@ -219,11 +239,25 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the pages, read the archives back, and report each capture."""
-    manifest = write(pages, Scratch(pages.sparkSession, "warc"), id_col, url, html)
-    captures = assemble(read(manifest, manifest.count()))
-    note = F.col("metadata")[0]["fields"]
-    page = note["page-id"].cast("long")
-    return captures.select(
-        F.when(page != _NO_ID, page).alias(id_col), F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
-        note["refers-to-page-id"].cast("long").alias("refers_to"))
+    scratch = Scratch(pages.sparkSession, "warc")
+    manifest = write(pages, scratch, id_col, url, html)
+    captures = scratch.keep(assemble(read(manifest, manifest.count())).select(
+        "capture_id", page_id().alias("page"), "response.payload_bytes", "response.payload_digest",
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target")), "captures")
+    return referred(captures, scratch).select(
+        F.col("page").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("referred").alias("refers_to"))
+
+
+def page_id() -> Column:
+    """The page id that a capture's metadata names."""
+    return F.col("metadata")[0]["fields"]["page-id"].cast("long")
+
+
+def referred(captures: DataFrame, scratch: Scratch) -> DataFrame:
+    """The captures with the page of the record that they refer to."""
+    aimed = captures.where("target is not null")
+    named = captures.select(F.col("capture_id").alias("target"), F.col("page").alias("referred"))
+    # A response that many refer to is one row here.
+    side = scratch.keep(aimed.groupBy("target").agg(F.count("*").alias("n")).join(named, "target", "left"), "targets")
+    return attach_unique(aimed, side, "target", "n").drop("n").unionByName(
+        captures.where("target is null").withColumn("referred", F.lit(None).cast("long")))

@@ -346,6 +346,34 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_and_links(spark):
+    """One id with several payloads and null ids, under any partitioning."""
+    from strata.llm import warc
+
+    r = random.Random(3)
+    bodies = [f"<p>{k} " + "y" * 150 + "</p>" for k in range(9)]
+    rows = [(r.choice([*range(40), None]), r.choice(["http://a/", "http://b/", None]), r.choice(bodies)) for _ in range(300)]
+    rows += [rows[0]] * 5
+    first = {}
+    for page, _, body in rows:
+        if page is not None:
+            first[body] = min(first.get(body, page), page)
+    expected = sorted((page is None, page or 0, brute.sha(body), "response" if page == first[body] else "revisit",
+                       -1 if page == first[body] else first[body]) for page, _, body in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = warc.round_trip(pages).collect()
+            assert sorted((x.page_id is None, x.page_id or 0, x.payload_digest, x.record_type,
+                           -1 if x.refers_to is None else x.refers_to) for x in got) == expected
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_warc_transactions(spark):
     """Concurrent-to in either direction, several metadata, and orphans."""
     from strata.llm import warc
