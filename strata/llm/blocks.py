@@ -30,8 +30,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_TEXT = 6 << 20
 MOST_BUCKETS = 1 << 16
 FROZEN = "grp int, block long, n_docs int, n_bytes long, texts binary"
-QUESTION = "bucket int, grp int, block long, blob binary"
-ANSWER = "grp int, block long, bucket int, blob binary"
+QUESTION = "bucket int, grp int, block long, n int, blob binary"
+ANSWER = "grp int, block long, bucket int, n int, blob binary"
 
 
 def squeeze(data: bytes) -> bytes:
@@ -124,6 +124,12 @@ def each_block(blocks: DataFrame, work: Callable, schema: str, answers: str | No
     return blocks.select("grp", "block", "texts").mapInArrow(run, schema)
 
 
+def asked(blocks: DataFrame, folder: str) -> int:
+    """The number of hashes that were asked for in an ``ask``."""
+    answers = blocks.sparkSession.read.schema(ANSWER).parquet(folder)
+    return answers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class Answers:
     """The answers to the blocks of a group, read from the shared folder."""
 
@@ -203,8 +209,9 @@ def question_batch(grp: int, block: int, bounds: np.ndarray, blobs: Callable[[in
     used = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
     return pa.RecordBatch.from_arrays(
         [pa.array(used, pa.int32()), pa.array([grp] * len(used), pa.int32()), pa.array([block] * len(used), pa.int64()),
+         pa.array([int(bounds[k + 1] - bounds[k]) for k in used], pa.int32()),
          pa.array([blobs(int(bounds[k]), int(bounds[k + 1])) for k in used], pa.binary())],
-        names=["bucket", "grp", "block", "blob"])
+        names=["bucket", "grp", "block", "n", "blob"])
 
 
 def ask(questions: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], scratch: Scratch, tag: str, buckets: int) -> str:
@@ -224,7 +231,7 @@ def ask(questions: DataFrame, answer: Callable[[list[int], list[bytes]], list[by
         bucket = table.column("bucket")[0].as_py()
         return pa.table({
             "grp": pa.array([grps[i] for i in order], pa.int32()), "block": pa.array([blocks[i] for i in order], pa.int64()),
-            "bucket": pa.array([bucket] * len(order), pa.int32()), "blob": pa.array(said, pa.binary())})
+            "bucket": pa.array([bucket] * len(order), pa.int32()), "n": table.column("n").take(pa.array(order)), "blob": pa.array(said, pa.binary())})
 
     answers = questions.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, ANSWER)
     answers.repartition("grp").write.partitionBy("grp").option("compression", "uncompressed").parquet(scratch.path(tag))

@@ -7,10 +7,12 @@ extended to the windows around it, and a window counts only if its words, not
 its hashes, equal those of an item.  An item of fewer words than a window is
 one window of its own length.
 
-The test side is indexed once and sent to the executors if its texts hold at
-most ``BLOCK_BYTES``; a larger benchmark is dealt into blocks below that size
-and the documents are scanned once a block, with hits kept between the scans.
-So nothing is broadcast without a bound and the documents are never shuffled.
+The test side is indexed on the driver and sent to the executors if its texts
+hold at most ``BLOCK_BYTES``, which makes some hundred bytes of index a word; the
+documents are then scanned in place.  A larger benchmark is never collected:
+``joined`` meets its fingerprints with those of the documents in a join, extends
+the hits on the documents that have some, and joins the words of these windows
+with those of the items.
 
 Defined results: null and empty texts have no words, no hits and no items;
 items without words match nothing; equal items under several ids all count and
@@ -33,12 +35,36 @@ from strata.llm.common import Scratch, batches
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
 
+def _words(text: str | None) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a text, lower case, and their hashes."""
+    data, offsets = textvec.buffers(pa.array([text], pa.string()))
+    starts, ends, _ = textvec.word_bounds(data, offsets, textvec.MARKS)
+    raw = textvec.LOWER[data].tobytes()
+    words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return textvec.word_hashes(data, starts, ends, textvec.LOWER) if words else np.zeros(0, np.uint64), words
+
+
+def _windows(words: list[bytes], n: int) -> list[bytes]:
+    return [b" ".join(words[at:at + n]) for at in range(len(words) - n + 1)]
+
+
+def _prints(h: np.ndarray, n: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of n words its fingerprint: the smallest gram hash in a whole
+    window, the run's own hash otherwise.  (Places of the runs, fingerprints.)"""
+    if n < window:
+        own = textvec.run_hashes(h, n)
+        return np.arange(len(own)), own
+    grams = textvec.run_hashes(h, gram)
+    chosen = textvec.minima(grams, window - gram + 1)
+    return np.arange(len(chosen)), grams[chosen]
+
+
 class Index:
-    """Windows and fingerprints of one block of test items."""
+    """Windows and fingerprints of test items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
@@ -46,22 +72,17 @@ class Index:
         runs: dict[int, set[int]] = {}
         prints: set[int] = set()
         for item, text in items:
-            data, offsets = textvec.buffers(pa.array([text], pa.string()))
-            starts, ends, _ = textvec.word_bounds(data, offsets, textvec.MARKS)
-            if not len(starts):
+            h, words = _words(text)
+            if not words:
                 continue
-            h = textvec.word_hashes(data, starts, ends, textvec.LOWER)
             n = min(window, len(h))
-            low = textvec.LOWER[data]
-            words = [low[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for at in range(len(words) - n + 1):
-                ids = self.exact.setdefault(b" ".join(words[at:at + n]), set())
+            for run in _windows(words, n):
+                ids = self.exact.setdefault(run, set())
                 if item is not None:
                     ids.add(item)
             runs.setdefault(n, set()).update(textvec.run_hashes(h, n).tolist())
             if n == window:
-                grams = textvec.run_hashes(h, gram)
-                prints.update(grams[textvec.minima(grams, window - gram + 1)].tolist())
+                prints.update(_prints(h, n, window, gram)[1].tolist())
         self.runs = {n: np.array(sorted(found), np.uint64) for n, found in runs.items()}
         self.prints = np.array(sorted(prints), np.uint64)
 
@@ -115,7 +136,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarra
     return np.diff(first), hits, items
 
 
-HITS = ("id string, text string, n_words long, spans array<struct<low:int,high:int>>, items array<string>")
+SPANS = "spans array<struct<low:int,high:int>>"
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,45 +151,98 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
-         item_id: str = "item_id", item_text: str = "text", keep_text: bool = False,
-         window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row a document: id, n_words, hit runs of words, sorted item ids, text."""
+         item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row a document: id, n_words, hit runs of words, sorted item ids."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + 2 * size // BLOCK_BYTES if size > BLOCK_BYTES else 1
     out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    id_type = out.schema["id"].dataType.simpleString()
-    schema = HITS.replace("id string", f"id {id_type}", 1)
-    scratch = Scratch(spark, "decontaminate") if blocks > 1 else None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in part.collect()], window, gram))
-        carry = keep_text or block < blocks - 1
-        out = out.mapInArrow(_scanner(index, block, carry), schema)
-        if scratch is not None and block < blocks - 1:
-            out = scratch.keep(out, f"block{block}")
-    return out if keep_text else out.drop("text")
-
-
-def _scanner(index, block: int, carry: bool):
+    schema = f"id {out.schema['id'].dataType.simpleString()}, n_words long, {SPANS}, items array<string>"
+    if size > BLOCK_BYTES:
+        return joined(out, items, schema, window, gram)
+    held = items.where(F.octet_length("text") > 0).collect()  # BLOCK_BYTES rows at most
+    index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in held], window, gram))
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
         for batch in batches(it, 1, BATCH_BYTES):
-            words, hits, items = scan(*textvec.buffers(batch.column(1)), index.value)
-            spans = [[(a, a + n) for a, n in row] for row in hits]
-            if block:
-                for row, old in zip(spans, batch.column(3).to_pylist(), strict=True):
-                    row += [(x["low"], x["high"]) for x in old]
-                for row, old in zip(items, batch.column(4).to_pylist(), strict=True):
-                    row.update(old)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1) if carry else pa.nulls(len(words), pa.string()), pa.array(words, pa.int64()),
-                 pa.array([[{"low": a, "high": b} for a, b in _merge(row)] for row in spans], spans_type),
-                 pa.array([sorted(row) for row in items], pa.list_(pa.string()))],
-                names=["id", "text", "n_words", "spans", "items"])
-
-    return work
+            words, hits, found = scan(*textvec.buffers(batch.column(1)), index.value)
+            yield _report(batch.column(0), words, [[(a, a + n) for a, n in row] for row in hits], [sorted(row) for row in found])
+
+    return out.mapInArrow(work, schema)
+
+
+def _report(ids: pa.Array, words: np.ndarray, spans: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+    spans_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(words, pa.int64()), pa.array([[{"low": a, "high": b} for a, b in _merge(row)] for row in spans], spans_type),
+         pa.array(items, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+
+
+def joined(docs: DataFrame, items: DataFrame, schema: str, window: int, gram: int) -> DataFrame:
+    """The same for a benchmark of any size: nothing of it is collected or broadcast.
+
+    A fingerprint or window that many documents have is one row on the items'
+    side, so Spark may split its rows.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    kept = scratch.keep(docs.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "docs")
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1, BATCH_BYTES):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, words = _words(text)
+                n = min(window, len(words))
+                if n:
+                    runs, (_, prints) = _windows(words, n), _prints(h, n, window, gram)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(runs), pa.string()), pa.array([n] * len(runs), pa.int32()), pa.array(prints.view(np.int64)),
+                         pa.array(runs, pa.binary())], names=["item", "n", "print", "words"])
+
+    parts = scratch.keep(items.mapInArrow(cut, "item string, n int, print long, words binary"), "items")
+    lengths = [r.n for r in parts.select("n").distinct().collect()]  # as many as a window has words, at most
+
+    def marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1, BATCH_BYTES):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, _ = _words(text)
+                for n in lengths:
+                    found = np.unique(_prints(h, n, window, gram)[1])
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key] * len(found), pa.int64()), pa.array([n] * len(found), pa.int32()),
+                             pa.array(found.view(np.int64))], names=["key", "n", "print"])
+
+    hit = kept.select("key", "text").mapInArrow(marks, "key long, n int, print long").join(
+        parts.select("n", "print").distinct(), ["n", "print"], "left_semi").groupBy("key").agg(
+        F.collect_list(F.struct("n", "print")).alias("prints"))
+
+    def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1, BATCH_BYTES):
+            for key, text, prints in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                h, words = _words(text)
+                for n in {p["n"] for p in prints}:
+                    places, own = _prints(h, n, window, gram)
+                    known = np.array(sorted(p["print"] for p in prints if p["n"] == n), np.int64)
+                    at = places[_among(own.view(np.int64), known)].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int32()),
+                         pa.array([b" ".join(words[a:a + n]) for a in at], pa.binary())], names=["key", "low", "n", "words"])
+
+    candidates = kept.select("key", "text").join(hit, "key").select("key", "text", "prints").mapInArrow(
+        extend, "key long, low int, n int, words binary")
+    met = scratch.keep(candidates.join(parts.groupBy("words").agg(F.collect_set("item").alias("found")), "words").select(
+        "key", "low", (F.col("low") + F.col("n")).alias("high"), "found"), "met")
+    spans = met.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    listed = met.select("key", F.explode("found").alias("item")).distinct().groupBy("key").agg(
+        F.array_sort(F.collect_list("item")).alias("items"))
+
+    def report(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1, BATCH_BYTES):
+            _, _, first = textvec.word_bounds(*textvec.buffers(batch.column(1)), textvec.MARKS)
+            yield _report(batch.column(0), np.diff(first), [[(s["low"], s["high"]) for s in row or ()] for row in batch.column(2).to_pylist()],
+                          [row or [] for row in batch.column(3).to_pylist()])
+
+    return kept.join(spans, "key", "left").join(listed, "key", "left").select("id", "text", "spans", "items").mapInArrow(report, schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

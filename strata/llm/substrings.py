@@ -1,17 +1,24 @@
 """Substring dedup by level-wise doubling of repeated windows.
 
-Level 1 looks at windows of half the length, and of those only at the smallest
-hash in every full window (``anchors``): a repeated full window has a repeated
-anchor in the same place.  Anchors that stand in one document alone end there.
-Level 2 extends the survivors to twice the length, the full window: a window is
-a candidate only if its anchor survived.  Windows that also start in a document
-with a smaller id are repeats, and the words that they cover are removed.
-Longer repeats are unions of these windows, so no third level adds a word.
+Levels are window lengths: SEED words, then twice as many, and so on up to the
+full window, where the last doubling is clipped.  At each level every full
+window that is still a candidate is represented by the smallest hash among its
+windows of the level's length, its anchor: equal full windows have equal
+anchors in the same place, so a full window whose anchor stands in one document
+alone is no repeat and ends there.  Only survivors are extended to the next
+length, and the levels end early if none is left.  At the last level windows
+that also start in a document with a smaller id are repeats, and the words that
+they cover are removed.  Longer repeats are unions of these windows, so no
+further level adds a word.
+
+Full windows are compared by two hashes of 64 and 32 bits, in their block and in
+their bucket; the candidates of the levels between by one of 64, where a false
+hit costs a question and no word.
 
 Defined results: words are judged on the input, whole, and windows never cross
 documents; null and empty texts have no words; among rows of one id neither is
 smaller, so repeated rows keep what no smaller id has; a null id counts as the
-largest and stays null; an empty table gives an empty result.
+largest, 2**63 - 1, which is reserved for it, and stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,60 +33,70 @@ from pyspark.sql import functions as F
 
 from strata.llm import blocks as B
 from strata.llm import textvec
-from strata.llm.common import Scratch
+from strata.llm.common import Scratch, get_file, put_file
 
 WINDOW = 13
+SEED = 4
 _NO_ID = 2**63 - 1
 _SPREAD = np.uint64(0xA0761D6478BD642F)
+_SECOND = np.uint64(0xE7037ED1A0B428DB)
+
+
+def levels(window: int) -> list[int]:
+    """The window lengths from the seed to the full window."""
+    out = [min(SEED, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
+    return out
 
 
 class Words:
-    """The words of a block, their hashes, and where windows may start."""
+    """The words of a block, their hashes, and the full windows that are candidates."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, alive: np.ndarray | None = None):
         self.starts, self.ends, self.first = textvec.word_bounds(data, offsets, textvec.SPACE)
         self.h = textvec.word_hashes(data, self.starts, self.ends)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         n = max(0, len(self.h) - window + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1:]) if n else np.zeros(0, np.int64)
         self.window = window
+        if alive is not None:
+            self.at = self.at[alive]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each window that may start: the place and hash of its anchor.
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each candidate: the place and hash of its anchor of this length.
 
         Anchors are small hashes by choice; mixed again they spread over the buckets.
         """
-        half = self.window // 2 + 1
-        grams = textvec.run_hashes(self.h, half)
-        chosen = textvec.minima(grams, self.window - half + 1)[self.at]
+        grams = textvec.run_hashes(self.h, length)
+        chosen = textvec.minima(grams, self.window - length + 1)[self.at]
         return chosen, textvec.mix(grams[chosen] ^ _SPREAD)
 
-    def windows(self) -> np.ndarray:
-        return textvec.run_hashes(self.h, self.window)[self.at]
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of each candidate's full window."""
+        second = textvec.run_hashes(textvec.mix(self.h ^ _SECOND), self.window)[self.at]
+        return textvec.run_hashes(self.h, self.window)[self.at], (second >> np.uint64(32)).astype(np.uint32)
 
 
-def distinct_anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchor hashes, and which of them several documents have."""
-    chosen, hashes = words.anchors()
+def distinct_anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct anchor hashes, which of them several documents have, and
+    the number of each candidate's anchor among them."""
+    chosen, hashes = words.anchors(length)
     if not len(chosen):
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     fresh = np.concatenate(([True], chosen[1:] != chosen[:-1]))
-    places, hashes = chosen[fresh], hashes[fresh]
-    order = np.argsort(hashes, kind="stable")
-    hashes, docs = hashes[order], words.doc[places[order]]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    places, some = chosen[fresh], hashes[fresh]
+    order = np.argsort(some, kind="stable")
+    some, docs = some[order], words.doc[places[order]]
+    first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
     several = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
-    return hashes[first], several
+    return some[first], several, np.searchsorted(some[first], hashes)
 
 
-def candidates(words: Words, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level 2: (places, hashes) of windows with a surviving anchor; and the
-    distinct hashes with their smallest document, as sorted hash, document."""
-    known, several = distinct_anchors(words)
-    alive = several | gathered(answers, B.bucket_bounds(known, buckets))
-    _, hashes = words.anchors()
-    keep = alive[np.searchsorted(known, hashes)] if len(known) else np.zeros(0, bool)
-    return words.at[keep], words.windows()[keep] if len(keep) else np.zeros(0, np.uint64), words.doc[words.at[keep]]
+def survivors(words: Words, length: int, answers: dict[int, bytes], buckets: int) -> np.ndarray:
+    """Which candidates have an anchor that several documents have."""
+    known, several, number = distinct_anchors(words, length)
+    return (several | gathered(answers, B.bucket_bounds(known, buckets)))[number]
 
 
 def gathered(answers: dict[int, bytes], bounds: np.ndarray) -> np.ndarray:
@@ -111,71 +128,110 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def by_hash(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows are neighbours, in the order in which they
+    came, and where a new window begins in it."""
+    order = np.argsort(h, kind="stable")
+    hs, ss = h[order], second[order]
+    same = hs[1:] == hs[:-1]
+    if (ss[1:] != ss[:-1])[same].any():  # different windows with one first hash
+        order = np.lexsort((second, h))
+        hs, ss = h[order], second[order]
+    return order, np.concatenate(([True], (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])))[:len(h)]
+
+
 def met_earlier(blocks: list[int], blobs: list[bytes]) -> list[bytes]:
-    """Level 2 in a bucket: does a smaller document of another block have it?"""
+    """The last level in a bucket: does a smaller document of another block have it?"""
     parts = []
     for blob in blobs:
-        hashes, docs = B.split_blobs(blob)
-        parts.append((B.unpack_sorted(hashes), B.unpack_numbers(docs)))
-    h = np.concatenate([p[0] for p in parts])
-    d = np.concatenate([p[1] for p in parts])
-    order = np.argsort(h, kind="stable")
-    hs, ds = h[order], d[order]
-    first = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
-    least = np.repeat(np.minimum.reduceat(ds, first), np.diff(np.concatenate((first, [len(hs)]))))
+        hashes, second, docs = B.split_blobs(blob)
+        parts.append((B.unpack_sorted(hashes), np.frombuffer(second, "<u4"), B.unpack_numbers(docs)))
+    h, second, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order, fresh = by_hash(h, second)
+    first, ds = np.flatnonzero(fresh), d[order]
+    least = np.repeat(np.minimum.reduceat(ds, first), np.diff(np.concatenate((first, [len(h)]))))
     earlier = np.empty(len(h), bool)
     earlier[order] = least < ds
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     return [_bits(part) for part in np.split(earlier, cuts)]
 
 
-def least_document(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes and the first document of the block with each."""
-    if not len(hashes):
-        return hashes, docs
-    order = np.argsort(hashes, kind="stable")  # documents ascend within equals
-    hs, ds = hashes[order], docs[order]
-    first = np.concatenate(([True], hs[1:] != hs[:-1]))
-    return hs[first], ds[first]
+class Windows:
+    """The distinct full windows of a block's candidates, by hash, each with the
+    first document that has it, and the number of each candidate's window."""
+
+    def __init__(self, words: Words):
+        h, second = words.windows()
+        order, fresh = by_hash(h, second)
+        self.number = np.empty(len(h), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        some = order[fresh]
+        self.h, self.second, self.least = h[some], second[some], words.doc[words.at[some]]  # documents ascend within equals
 
 
 def repeats(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,
-            carry: bool = False) -> DataFrame:
+            carry: bool = False, trace: list[tuple[int, int]] | None = None) -> DataFrame:
     """Run ``finish(ids, data, offsets, words, covered)`` with the repeated words of
-    every block marked."""
+    every block marked.  ``trace`` gets each level's length and the number of
+    hashes that the blocks asked about."""
     scratch = Scratch(docs.sparkSession, "substrings")
     frozen, n_bytes, _ = B.freeze(docs, scratch, id_col, text, carry)
     buckets = B.n_buckets(n_bytes)
-
-    def ask_anchors(grp, block, ids, data, offsets, _) -> Iterator[pa.RecordBatch]:
-        known, _several = distinct_anchors(Words(data, offsets, window))
-        yield B.question_batch(grp, block, B.bucket_bounds(known, buckets), lambda a, b: B.pack_sorted(known[a:b]))
-
-    level1 = B.ask(B.each_block(frozen, ask_anchors, B.QUESTION), met_elsewhere, scratch, "level1", buckets)
+    lengths, root, folder = levels(window), scratch.root, None
+
+    def candidates(level: int, block: int, data: np.ndarray, offsets: np.ndarray, answers: dict[int, bytes]) -> Words:
+        """What is left after the level before; each block's mask is kept as a file
+        in the shared folder, so that no level is judged twice."""
+        if not level:
+            return Words(data, offsets, window)
+        places = kept(level - 1, block) if level > 1 else None
+        words = Words(data, offsets, window, places)
+        keep = np.flatnonzero(survivors(words, lengths[level - 1], answers, buckets))
+        left = keep if places is None else places[keep]
+        alive = np.zeros(int(left[-1]) + 1 if len(left) else 0, bool)
+        alive[left] = True
+        put_file(f"{root}/alive{level}/{block}", B.squeeze(np.packbits(alive).tobytes()))
+        words.at = words.at[keep]
+        return words
+
+    def kept(level: int, block: int) -> np.ndarray:
+        """The candidates of a block that are left before a level, by number."""
+        return np.flatnonzero(np.unpackbits(np.frombuffer(B.expand(get_file(f"{root}/alive{level}/{block}")), np.uint8)))
+
+    def ask_anchors(level: int):
+        def ask(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
+            known, _, _ = distinct_anchors(candidates(level, block, data, offsets, answers), lengths[level])
+            yield B.question_batch(grp, block, B.bucket_bounds(known, buckets), lambda a, b: B.pack_sorted(known[a:b]))
+        return ask
 
     def ask_windows(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
-        _, hashes, owners = candidates(Words(data, offsets, window), answers, buckets)
-        known, least = least_document(hashes, owners)
-        yield B.question_batch(grp, block, B.bucket_bounds(known, buckets), lambda a, b: B.join_blobs(
-            [B.pack_sorted(known[a:b]), B.pack_numbers(ids[least[a:b]])]))
-
-    level2 = B.ask(B.each_block(frozen, ask_windows, B.QUESTION, level1), met_earlier, scratch, "level2", buckets)
+        w = Windows(candidates(len(lengths) - 1, block, data, offsets, answers))
+        yield B.question_batch(grp, block, B.bucket_bounds(w.h, buckets), lambda a, b: B.join_blobs(
+            [B.pack_sorted(w.h[a:b]), w.second[a:b].astype("<u4").tobytes(), B.pack_numbers(ids[w.least[a:b]])]))
+
+    for level, length in enumerate(lengths):
+        full = length == window
+        questions = B.each_block(frozen, ask_windows if full else ask_anchors(level), B.QUESTION, folder)
+        folder = B.ask(questions, met_earlier if full else met_elsewhere, scratch, f"level{level}", buckets)
+        n = B.asked(frozen, folder)
+        if trace is not None:
+            trace.append((length, n))
+        if not n:  # no candidate is left
+            break
+    ended, last = not n, len(lengths) - 1
 
     def judge(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:
-        words = Words(data, offsets, window)
-        places, hashes, owners = candidates(words, first_level.of(grp, block), buckets)
-        known, least = least_document(hashes, owners)
-        earlier = gathered(answers, B.bucket_bounds(known, buckets))
-        if len(known):
-            slot = np.searchsorted(known, hashes)
-            hit = earlier[slot] | (ids[least[slot]] < ids[owners])
-            marks = textvec.covered(len(words.h), places[hit], window)
-        else:
-            marks = np.zeros(len(words.h), bool)
-        yield finish(ids, data, offsets, words, marks)
-
-    first_level = B.Answers(level1)
-    return B.each_block(frozen, judge, schema, level2)
+        if ended:
+            words = Words(data, offsets, window)
+            yield finish(ids, data, offsets, words, np.zeros(len(words.h), bool))
+            return
+        words = Words(data, offsets, window, kept(last, block) if last else None)
+        w = Windows(words)
+        earlier = gathered(answers, B.bucket_bounds(w.h, buckets))
+        hit = earlier[w.number] | (ids[w.least[w.number]] < ids[words.doc[words.at]])
+        yield finish(ids, data, offsets, words, textvec.covered(len(words.h), words.at[hit], window))
+
+    return B.each_block(frozen, judge, schema, folder)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

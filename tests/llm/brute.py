@@ -58,7 +58,7 @@ def shingles(text, size=3):
     return frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1)))
 
 
-def components(docs):
+def components(docs, size=3, percent=85):
     """docs: (id, text) with distinct ids; the smallest id reachable of each."""
     up = {doc: doc for doc, _ in docs}
 
@@ -67,12 +67,12 @@ def components(docs):
             x = up[x]
         return x
 
-    sets = {doc: shingles(text) for doc, text in docs}
+    sets = {doc: shingles(text, size) for doc, text in docs}
     for a in sets:
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = root(a), root(b)
                     up[max(x, y)] = min(x, y)
     return {doc: root(doc) for doc in up}, {doc: len(s) for doc, s in sets.items()}

@@ -27,7 +27,7 @@ def test_pipeline(spark, folder, encoders):  # noqa: F811
     verdict = {r.doc_id: r.kept for r in judge(spark.read.parquet(f"{out}/documents.parquet")).collect()}
     docs = [(doc, text) for doc, text, *_ in rows if verdict[doc]]
     assert docs and len(docs) < len(rows)
-    component, _ = brute.components(docs)
+    component, _ = brute.components(docs, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
     docs = [(doc, text) for doc, text in docs if component[doc] == doc]
     left = []
     for (doc, text), (w, gone) in zip(docs, brute.substring_marks(docs), strict=True):
