@@ -1,18 +1,20 @@
 """Token ids in wavelet-matrix files: one compressed, searchable file a shard.
 
 A wavelet matrix keeps a sequence as bit planes, most significant bit first;
-after each plane the sequence is split stably, zeros before ones.  With a count
-of ones at every BLOCK bits a plane answers rank in constant time, so a file
-gives any token (``access``), counts a token in a range (``count``) and finds
-its occurrences (``occurrences``) without being expanded.
+after each plane the sequence is split stably, zeros before ones.  A directory
+holds the ones ahead of every BLOCK bits: rank counts inside one block, select
+searches the directory and then one block.  So a file gives any token
+(``access``), counts a token in a range (``count``) and finds its occurrences
+(``occurrences``) from the directories and the frames of the planes that hold
+the blocks it asks for; no plane is expanded.
 
 A shard numbers its tokens by frequency, so the upper planes are nearly all
 zeros, which are quick to split and compress well; the file has the numbering.
 
 File: MAGIC, a JSON header with the length of each section, then the sections,
-each compressed with zstd: document ids (int64), document starts (int64), tokens
-by frequency (uint32), and for every plane its packed bits and its block counts
-(uint32).
+each compressed with zstd by itself: document ids (int64), document starts
+(int64), tokens by frequency (uint32), and for every plane its directory
+(uint32) and its packed bits in frames of FRAME bytes.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, batches, get_file, ordered_id, put_file, task_number
+from strata.llm.common import Scratch, batches, get_file, open_fs, ordered_id, put_file, task_number
 
 MAGIC = b"STRATAWM"
+#: Bits of a block, bytes of a frame (whole blocks), places that are looked up at once.
 BLOCK = 512
+FRAME = 1 << 15
+ROWS = 2048
 LEVEL = 1
 BATCH_BYTES = 2 << 20
 #: Text bytes of a range of ids and the most ranges; tokens of a shard.  A range
@@ -40,12 +45,83 @@ MOST_RANGES = 20_000
 SHARD_TOKENS = 1 << 23
 
 
+class Plane:
+    """Packed bits, big bit first, in frames that are loaded when they are asked for."""
+
+    KEPT = 64
+
+    def __init__(self, n: int, counts: np.ndarray, load: Callable[[int], np.ndarray], frame: int):
+        self.n, self.counts, self.load, self.frame = n, counts, load, frame
+        self.n_bytes = -(-n // 8)
+        self.frames, self.read, self.held = -(-self.n_bytes // frame), 0, {}
+        self.zeros = n - int(counts[-1])
+
+    def part(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            if len(self.held) >= self.KEPT:
+                self.held.pop(next(iter(self.held)))
+            self.held[k] = self.load(k)
+            self.read += 1
+        return self.held[k]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.load(k) for k in range(self.frames)]) if self.frames else np.zeros(0, np.uint8)
+
+    def blocks(self, block: np.ndarray) -> np.ndarray:
+        """The bytes of each block, one row a block; zeros beyond the end."""
+        per = BLOCK // 8
+        out = np.zeros((len(block), per), np.uint8)
+        at = block * per
+        frame = at // self.frame
+        for k in np.unique(frame[at < self.n_bytes]).tolist():
+            rows = np.flatnonzero((frame == k) & (at < self.n_bytes))
+            part = self.part(k)
+            padded = np.concatenate((part, np.zeros(-len(part) % per, np.uint8))).reshape(-1, per)
+            out[rows] = padded[(at[rows] - k * self.frame) // per]
+        return out
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Rank: the ones ahead of each place."""
+        block, out = at // BLOCK, np.empty(len(at), np.int64)
+        for k in range(0, len(at), ROWS):
+            some, b = at[k:k + ROWS], block[k:k + ROWS]
+            bits = 8 * np.arange(BLOCK // 8)[None, :]
+            left = np.clip(some[:, None] - b[:, None] * BLOCK - bits, 0, 8)
+            mask = (0xFF00 >> left).astype(np.uint8)
+            out[k:k + ROWS] = self.counts[b] + np.bitwise_count(self.blocks(b) & mask).sum(1)
+        return out
+
+    def select(self, rank: np.ndarray, bit: int) -> np.ndarray:
+        """The place of the ones, or zeros, of the ranks given, from 0."""
+        directory = self.counts.astype(np.int64)
+        if not bit:
+            directory = np.arange(len(directory)) * BLOCK - directory
+        out = np.empty(len(rank), np.int64)
+        for k in range(0, len(rank), ROWS):
+            some = rank[k:k + ROWS]
+            block = np.searchsorted(directory, some, "right") - 1
+            bits = np.unpackbits(self.blocks(block), axis=1) == bit
+            ahead = np.cumsum(bits, axis=1, dtype=np.int32)
+            out[k:k + ROWS] = block * BLOCK + (ahead > (some - directory[block])[:, None]).argmax(1)
+        return out
+
+    def bits(self, at: np.ndarray) -> np.ndarray:
+        place = at % BLOCK
+        return (self.blocks(at // BLOCK)[np.arange(len(at)), place // 8] >> (7 - place % 8).astype(np.uint8)) & 1
+
+
+def _plane(packed: np.ndarray, n: int) -> Plane:
+    return Plane(n, _block_counts(packed), lambda k: packed[k * FRAME:(k + 1) * FRAME], FRAME)
+
+
 class WaveletMatrix:
-    def __init__(self, planes: list[np.ndarray], counts: list[np.ndarray], n: int, symbols: np.ndarray):
-        """planes: packed bits, big bit first; counts: ones ahead of each block;
-        symbols: the value behind each number."""
-        self.n, self.planes, self.counts, self.symbols = n, planes, counts, symbols
-        self.zeros = [n - int(c[-1]) for c in counts]
+    def __init__(self, planes: list[Plane], n: int, symbols: np.ndarray):
+        """symbols: the value behind each number."""
+        self.n, self.planes, self.symbols = n, planes, symbols
+
+    @property
+    def frames_read(self) -> int:
+        return sum(p.read for p in self.planes)
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
@@ -55,15 +131,13 @@ class WaveletMatrix:
         width = np.uint16 if len(symbols) <= 1 << 16 else np.uint32
         number = np.zeros(len(seen), width)
         number[symbols] = np.arange(len(symbols))
-        at, planes, counts = number[values], [], []
+        at, planes = number[values], []
         for k in range(max(1, (len(symbols) - 1).bit_length()) - 1, -1, -1):
             ones = (at & width(1 << k)) != 0
-            packed = np.packbits(ones)
-            planes.append(packed)
-            counts.append(_block_counts(packed))
+            planes.append(_plane(np.packbits(ones), len(values)))
             # By places: a mask of random bits is several times slower.
             at = np.concatenate((at[np.flatnonzero(~ones)], at[np.flatnonzero(ones)]))
-        return cls(planes, counts, len(values), symbols)
+        return cls(planes, len(values), symbols)
 
     def values(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
@@ -71,12 +145,12 @@ class WaveletMatrix:
         if not n:
             return np.zeros(0, np.uint32)
         at = np.zeros(n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for k, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            if zeros < n:
-                ones = np.unpackbits(packed, count=n).view(bool)
+        for k, plane in enumerate(reversed(self.planes)):
+            if plane.zeros < n:
+                ones = np.unpackbits(plane.whole(), count=n).view(bool)
                 back = np.empty_like(at)
-                back[np.flatnonzero(~ones)] = at[:zeros]
-                back[np.flatnonzero(ones)] = at[zeros:] | at.dtype.type(1 << k)
+                back[np.flatnonzero(~ones)] = at[:plane.zeros]
+                back[np.flatnonzero(ones)] = at[plane.zeros:] | at.dtype.type(1 << k)
                 at = back
         return self.symbols[at]
 
@@ -84,30 +158,19 @@ class WaveletMatrix:
         found = np.flatnonzero(self.symbols == value)
         return int(found[0]) if len(found) else None
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones ahead of each position."""
-        block = at // BLOCK
-        padded = np.concatenate((self.planes[level], np.zeros(BLOCK // 8, np.uint8)))
-        found = self.counts[level][block].astype(np.int64)
-        for row, (b, p) in enumerate(zip(block.tolist(), at.tolist(), strict=True)):
-            part = np.unpackbits(padded[b * BLOCK // 8:(b + 1) * BLOCK // 8])[:p - b * BLOCK]
-            found[row] += int(part.sum())
-        return found
-
     def access(self, positions: np.ndarray) -> np.ndarray:
         at, out = np.asarray(positions, np.int64), np.zeros(len(positions), np.int64)
-        for level, packed in enumerate(self.planes):
-            bit = (packed[at // 8] >> (7 - at % 8).astype(np.uint8)) & 1
-            ones = self._ones(level, at)
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+        for plane in self.planes:
+            bit, ones = plane.bits(at), plane.ones(at)
+            at = np.where(bit == 1, plane.zeros + ones, at - ones)
             out = out << 1 | bit
         return self.symbols[out]
 
     def _range(self, number: int, low: int, high: int) -> tuple[int, int]:
-        for level in range(len(self.planes)):
-            a, b = self._ones(level, np.array([low, high])).tolist()
+        for level, plane in enumerate(self.planes):
+            a, b = plane.ones(np.array([low, high])).tolist()
             if number >> (len(self.planes) - 1 - level) & 1:
-                low, high = self.zeros[level] + a, self.zeros[level] + b
+                low, high = plane.zeros + a, plane.zeros + b
             else:
                 low, high = low - a, high - b
         return low, high
@@ -128,11 +191,8 @@ class WaveletMatrix:
         a, b = self._range(number, low, self.n if high is None else high)
         at = np.arange(a, b)
         for level in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n)
-            if number >> (len(self.planes) - 1 - level) & 1:
-                at = np.flatnonzero(bits)[at - self.zeros[level]]
-            else:
-                at = np.flatnonzero(bits == 0)[at]
+            bit, plane = number >> (len(self.planes) - 1 - level) & 1, self.planes[level]
+            at = plane.select(at - plane.zeros if bit else at, bit)
         return at.tolist()
 
 
@@ -153,29 +213,45 @@ def write_shard(ids: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> byte
 
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
     matrix = WaveletMatrix.build(tokens)
-    sections = [ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), matrix.symbols.astype("<u4").tobytes()]
-    for packed, counts in zip(matrix.planes, matrix.counts, strict=True):
-        sections += [packed.tobytes(), counts.astype("<u4").tobytes()]
-    sections = [pack(s) for s in sections]
-    header = json.dumps({"tokens": len(tokens), "documents": len(ids), "sections": [len(s) for s in sections]}).encode()
+    sections = [pack(x.tobytes()) for x in (ids.astype("<i8"), starts.astype("<i8"), matrix.symbols.astype("<u4"))]
+    for plane in matrix.planes:
+        sections.append(pack(plane.counts.astype("<u4").tobytes()))
+        sections += [pack(plane.load(k).tobytes()) for k in range(plane.frames)]
+    header = json.dumps({"tokens": len(tokens), "documents": len(ids), "planes": len(matrix.planes), "frame": FRAME,
+                         "sections": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
 
 
-def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+def read_shard(data: bytes | Callable[[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    """A shard from its bytes, or from a function that gives some of them by
+    place and number; frames are read when they are needed."""
     import zstandard
 
-    if data[:8] != MAGIC:
+    fetch = data if callable(data) else lambda at, n: data[at:at + n]
+    lead = fetch(0, 12)
+    if lead[:8] != MAGIC:
         raise ValueError("not a wavelet-matrix file")
-    size = struct.unpack_from("<I", data, 8)[0]
-    header, at, parts = json.loads(data[12:12 + size]), 12 + size, []
-    unpack = zstandard.ZstdDecompressor().decompress
-    for length in header["sections"]:
-        parts.append(unpack(data[at:at + length]))
-        at += length
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[4::2]]
-    matrix = WaveletMatrix(planes, counts, header["tokens"], np.frombuffer(parts[2], "<u4"))
-    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), matrix
+    size = struct.unpack_from("<I", lead, 8)[0]
+    header = json.loads(fetch(12, size))
+    ends = 12 + size + np.cumsum([0, *header["sections"]])
+
+    def section(k: int, kind: str) -> np.ndarray:
+        at, to = int(ends[k]), int(ends[k + 1])
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(fetch(at, to - at)), kind)
+
+    planes, n = [], header["tokens"]
+    each = 1 + -(-(-(-n // 8)) // header["frame"])  # a directory and its frames
+    for k in range(header["planes"]):
+        at = 3 + k * each
+        planes.append(Plane(n, section(at, "<u4"), lambda f, at=at: section(at + 1 + f, "u1"), header["frame"]))
+    return section(0, "<i8"), section(1, "<i8"), WaveletMatrix(planes, n, section(2, "<u4"))
+
+
+def open_shard(uri: str) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    """A shard that is read from its file piece by piece."""
+    store, path = open_fs(uri)
+    source = store.open_input_file(path)
+    return read_shard(lambda at, n: source.read_at(n, at))
 
 
 def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +259,7 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_
 
     Ranges of ids are cut at quantiles and sorted, and each writes one shard or
     several, so the files in (range, shard) order hold the corpus in id order.
-    A null id is written as the largest id and read back null.
+    A null id is written as the largest id, 2**63 - 1, and read back null.
     """
     key = ordered_id(id_col)
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -193,7 +269,7 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_
         cuts = sorted(set(cuts))
     else:
         cuts = []
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<long>") if cuts else F.array().cast("array<long>")
+    bounds = np.array(cuts, np.int64)
     folder = scratch.path("shards")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +277,14 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_
 
         enc = encoder(resolve(tokenizer))
         narrow = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in batches(it, 2, BATCH_BYTES):
-            coded = enc.encode(t or "" for t in batch.column(2).to_pylist())
-            packed = [np.frombuffer(c + b"\0\0\0\0", "<u4").astype(narrow).tobytes() for c in coded]
+        for batch in batches(it, 1, BATCH_BYTES):
+            ids, ends = enc.batch(batch.column(1), 0)
+            width = np.dtype(narrow).itemsize
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [
+                None, pa.py_buffer((width * ends).astype(np.int64)), pa.py_buffer(ids.astype(narrow))]).cast(pa.binary())
+            number = np.searchsorted(bounds, batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([np.dtype(narrow).itemsize] * len(packed), pa.int32()),
-                 pa.array(packed, pa.binary())], names=["range", "id", "width", "ids"])
+                [pa.array(number, pa.int32()), batch.column(0), pa.array([width] * len(packed), pa.int32()), packed], names=["range", "id", "width", "ids"])
         enc.rest()
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +313,7 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str, id_col: str = "doc_
         if runs:
             yield finish()
 
-    number = F.size(F.filter(bounds, lambda c: c < key)) if cuts else F.lit(0)
-    coded = docs.select(number.alias("range"), key.alias("id"), F.col(text).alias("text")).mapInArrow(
+    coded = docs.select(key.alias("id"), F.col(text).alias("text")).mapInArrow(
         encode, "range int, id long, width int, ids binary")
     ordered = coded.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(
         "range", "id", F.crc32("ids"), F.octet_length("ids"))

@@ -109,6 +109,33 @@ def test_substrings_short_windows(docs, rows):
     assert got == {doc: sum(gone) for (doc, _), (_, gone) in zip(rows, brute.substring_marks(rows, 5), strict=True)}
 
 
+def test_substring_levels(spark, docs):
+    from strata.llm import substrings as S
+
+    assert S.levels(13) == [4, 8, 13] and S.levels(5) == [4, 5] and S.levels(3) == [3] and S.levels(16) == [4, 8, 16]
+    finish = lambda ids, data, offsets, words, marks: S.pa.RecordBatch.from_arrays([S.pa.array([int(marks.sum())])], names=["n"])
+    trace = []
+    removed = sum(r.n for r in S.repeats(docs, finish, "n long", trace=trace).collect())
+    assert removed and [length for length, _ in trace] == [4, 8, 13] and all(n for _, n in trace)
+    asked, plain = dict(trace), []
+    S.repeats(docs, finish, "n long", window=4, trace=plain)  # all windows of four words
+    assert asked[4] < plain[0][1]
+    alone = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(9)], "doc_id long, text string")
+    trace = []
+    assert sum(r.n for r in S.repeats(alone, finish, "n long", trace=trace).collect()) == 0
+    assert [length for length, _ in trace] == [4, 8] and trace[0][1] and not trace[1][1]  # none survives the first
+
+
+def test_equal_first_hashes():
+    import numpy as np
+
+    from strata.llm.substrings import by_hash
+
+    h, second = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 2, 1, 9], np.uint32)
+    order, fresh = by_hash(h, second)
+    assert order.tolist() == [1, 4, 0, 3, 2] and fresh.tolist() == [True, False, True, False, True]
+
+
 def test_decontamination(spark, docs, rows, nothing, odd, monkeypatch):
     from strata.llm import decontaminate as D
 
@@ -128,7 +155,7 @@ def test_decontamination(spark, docs, rows, nothing, odd, monkeypatch):
                 n, hit, len(found), brute.sha(",".join(found)), hit > 0)
 
     check()
-    monkeypatch.setattr(D, "BLOCK_BYTES", 600)  # the same in several blocks
+    monkeypatch.setattr(D, "BLOCK_BYTES", 600)  # the same by joins
     check()
     clean = D.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns
@@ -269,6 +296,27 @@ def test_encoder_equals_the_library(encoders):
             assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_batches(encoders, monkeypatch):
+    """Whole batches, with a memory of pieces that is too small and one that is not."""
+    import pyarrow as pa
+
+    from strata.llm import encoding
+
+    r = random.Random(6)
+    parts = [" ", "  ", "\n", "\t ", " \n", "\r\n", "a", "It's", "word", "Word,", "x" * 70, "é", "日本", "\u00a0", "12", "'", "<|", "e\u0301", "\u2028", "\x1d", "İ"]
+    texts = ODD_TEXTS + passages() + ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(1500)]
+    for name, library in encoders.items():
+        for entries in (10, 10**6):
+            monkeypatch.setattr(encoding, "PIECES", entries)
+            mine = encoding.Encoder(encoding.resolve(name))
+            for at in range(0, len(texts), 300):
+                some = texts[at:at + 300]
+                ids, bounds = mine.batch(pa.array(["pad", *some], pa.string()).slice(1), 7)
+                for k, text in enumerate(some):
+                    assert ids[bounds[k]:bounds[k + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 7], (name, text)
+            assert mine.batch(pa.array([], pa.string()), 7)[0].tolist() == []
+
+
 def test_packing(docs, rows, nothing, odd, encoders):
     from strata.llm.best_fit import pack
 
@@ -327,6 +375,27 @@ def test_wavelet_matrix_queries():
             assert matrix.count(value, n // 3, n // 2) == int((values[n // 3:n // 2] == value).sum())
 
 
+def test_wavelet_reads_what_it_needs(monkeypatch):
+    import numpy as np
+
+    from strata.llm import wavelet
+
+    monkeypatch.setattr(wavelet, "FRAME", 256)
+    values = np.random.default_rng(1).zipf(1.3, 60_000).clip(0, 40_000).astype(np.uint32)
+    at = [1, 40_000, 59_000]
+    values[at] = 45_000
+    data = wavelet.write_shard(np.array([1]), np.array([0, len(values)]), values)
+    _, _, matrix = wavelet.read_shard(data)
+    frames = sum(p.frames for p in matrix.planes)
+    assert matrix.frames_read == 0 and matrix.occurrences(45_000) == at
+    assert 0 < matrix.frames_read <= 8 * len(matrix.planes) < frames / 3
+    _, _, matrix = wavelet.read_shard(data)
+    assert matrix.access(np.array([at[1]])).tolist() == [45_000] and matrix.frames_read <= 2 * len(matrix.planes)
+    _, _, matrix = wavelet.read_shard(data)
+    assert matrix.count(1, 100, 50_000) == int((values[100:50_000] == 1).sum()) and matrix.frames_read <= 4 * len(matrix.planes)
+    assert matrix.occurrences(1) == np.flatnonzero(values == 1).tolist() and matrix.values().tolist() == values.tolist()
+
+
 def test_warc(spark):
     from strata.llm import warc
 
