@@ -21,15 +21,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, batches
 
-#: A length's ranks are dealt in this many cells, or in more of CELL_ROWS each.
-SALTS = 64
-CELL_ROWS = 1_000_000
+#: A length's ranks are dealt in cells of this many rows, or of more where there
+#: would be over MOST_CELLS of them.
+CELL_ROWS = 10_000
+MOST_CELLS = 1 << 20
 BATCH_BYTES = 2 << 20
 PIECES = "id long, piece int, start long, length int, crc long"
 
@@ -112,18 +114,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text
 
         enc = encoder(resolve(tokenizer))
         for batch in batches(it, 1, BATCH_BYTES):
-            ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
-            coded = enc.encode(t or "" for t in batch.column(1).to_pylist())
-            for doc, code in zip(ids, coded, strict=True):
-                code += b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(code), 4 * capacity)):
-                    part = code[at:at + 4 * capacity]
-                    for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            ids, bounds = enc.batch(batch.column(1), 0)
+            n = np.diff(bounds)
+            pieces = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start, length = piece * capacity, np.minimum(capacity, n[doc] - piece * capacity)
+            raw = ids.astype("<u4", copy=False).data.cast("B")
+            at = 4 * (bounds[doc] + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()),
-                 pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int64())],
-                names=["id", "piece", "start", "length", "crc"])
+                [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int32()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "crc"])
         enc.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, PIECES)
@@ -136,27 +138,26 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     scratch = Scratch(spark, "pack")
     pieces = scratch.keep(cut_pieces(docs, tokenizer, capacity, id_col, text), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = F.lit(SALTS)
-    for length, n in histogram.items():
-        if n // CELL_ROWS > SALTS:
-            salts = F.when(F.col("length") == length, n // CELL_ROWS).otherwise(salts)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start", "crc"), salts).cast("int"))
-    # At most capacity * SALTS + rows / CELL_ROWS cells.
+    each = max(CELL_ROWS, sum(histogram.values()) // MOST_CELLS)
+    salts = spark.createDataFrame([(length, 1 + n // each) for length, n in histogram.items()], "length int, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn(  # one row a length, capacity of them at most
+        "salt", F.pmod(F.xxhash64("id", "piece", "start", "crc"), F.col("salts")).cast("int")).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = scratch.keep(counts.select(
-        "length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "cells")
     placements = spark.createDataFrame(
         plan(histogram, capacity), "length int, low long, high long, first long, each long, used int")
-    in_cell = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "crc")
-    ranked = (salted.withColumn("r", F.row_number().over(in_cell) - 1)
-              .join(F.broadcast(cells.drop("n")), ["length", "salt"])
-              .withColumn("rank", F.col("ahead") + F.col("r")).drop("salt", "r", "ahead"))
-    # A length has few placements; group them so that the join stays an equal join.
+    # A length has few placements; a cell gets those that its ranks meet.
     by_length = placements.groupBy("length").agg(
         F.array_sort(F.collect_list(F.struct("low", "high", "first", "each", "used"))).alias("steps"))
+    cells = scratch.keep(counts.select("length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")).join(
+        F.broadcast(by_length), "length").select("length", "salt", "ahead", F.filter("steps", lambda s: (
+            s["high"] > F.col("ahead")) & (s["low"] < F.col("ahead") + F.col("n"))).alias("steps")), "cells")
+    in_cell = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "crc")
+    # Rows and cells are spread by the same two columns.
+    ranked = (salted.withColumn("r", F.row_number().over(in_cell) - 1).join(cells, ["length", "salt"])
+              .withColumn("rank", F.col("ahead") + F.col("r")))
     step = F.filter("steps", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"]))[0]
-    found = ranked.join(F.broadcast(by_length), "length").select("*", step.alias("s"))
+    found = ranked.select("id", "piece", "start", "length", "crc", "rank", step.alias("s"))
     turn = F.col("rank") - F.col("s.low")
     return found.select(
         F.col("id").alias(id_col), "piece", "start", F.col("length").cast("long").alias("length"),
