@@ -69,19 +69,19 @@ def _readable(files: DataFrame, path: str) -> None:
 
 def _index(spark: SparkSession, root: str, cache: bool) -> Code:
     """The relations of a tree; with a cache, only changed files are parsed."""
-    listing = _files(spark, [root], scan.source_files)
+    listing = _files(spark, [root], scan.source_listing)
     if listing is None:
         return Code(parse_code(spark.createDataFrame([], "path string, content binary")))
     listing = listing.withColumn("path", F.regexp_replace("path", "^" + _regex(slash_path(root).rstrip("/")) + "/", "")) if root != "." else listing
     if not cache:
-        return Code(parse_code(listing).where("error IS NULL OR error = 'syntax error'").cache())
+        return Code(parse_code(scan.opened(listing)).where("error IS NULL OR error = 'syntax error'").cache())
     folder = os.path.join(os.path.abspath(root), ".strata-cache")
     try:
         os.makedirs(folder, exist_ok=True)
         with open(os.path.join(folder, ".gitignore"), "w") as ignore:
             ignore.write("*\n")
         have = sorted(int(n[1:]) for n in os.listdir(folder) if n[:1] == "v" and n[1:].isdigit())
-        code = build(listing, folder, have[-1] if have else 0)
+        code = build(listing, folder, have[-1] if have else 0, scan.opened)
     except OSError:  # a cache that cannot be written is no cache
         return _index(spark, root, False)
     return Code(code.wide.where("error IS NULL OR error = 'syntax error'"))

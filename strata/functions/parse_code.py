@@ -3,7 +3,9 @@
 Structure comes from ``ast``, whose columns are UTF-8 bytes; names, comments and
 string pieces come from ``tokenize``, whose columns are converted.  All offsets
 are bytes and all lines are counted by newline, from 1.  A text that does not
-parse still gives the definitions that its ``def`` and ``class`` lines show.
+parse is read without the lines that ``ast`` refuses (``recovered``); their calls
+come from the tokens.  If that does not help either, its definitions are those
+that its ``def`` and ``class`` lines show.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ class Source:
         return max(1, bisect_right(self.starts, byte))
 
     def at(self, line: int, column: int) -> int:
-        return self._ast_starts[line - 1] + column
+        end = self._ast_starts[line] if line < len(self._ast_starts) else len(self.data)
+        return min(self._ast_starts[line - 1] + column, end)  # a line may have been read with more
 
     def start(self, node: ast.AST) -> int:
         return self.at(node.lineno, node.col_offset)
@@ -191,6 +194,76 @@ def blocks_of(node: ast.stmt) -> list[list[ast.stmt]]:
     return out
 
 
+#: Lines that are given up before a text counts as hopeless.
+MOST_REFUSED = 200
+_HEAD = re.compile(rb"([ \t]*)((?:async[ \t]+)?def|class)[ \t]+((?:[^\W\d]|[\x80-\xff])[\w\x80-\xff]*)")
+
+
+def recovered(text: str) -> tuple[ast.Module | None, str, list[tuple[int, int]]]:
+    """The tree of a text without the lines that are refused, that text, and the
+    bytes of these lines.
+
+    Lines keep their number.  A block without a body gets one.  A refused line
+    that begins a definition keeps its name, the head of another block becomes
+    ``if 1:``, any other ``pass``; if it is refused again it becomes empty, and
+    then the line before it is tried.
+    """
+    lines = text.encode().split(b"\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    tried: dict[int, int] = {}
+    for _ in range(MOST_REFUSED):
+        now = b"\n".join(lines).decode()
+        try:
+            return ast.parse(now), now, [(starts[k], starts[k + 1] - 1) for k in sorted(tried)]
+        except SyntaxError as error:
+            bare = re.search(r"expected an indented block after .* on line (\d+)", error.msg or "")
+            if bare and not lines[int(bare[1]) - 1].endswith(b" pass"):
+                lines[int(bare[1]) - 1] = lines[int(bare[1]) - 1].rstrip() + b" pass"
+                continue
+            k = min(max(error.lineno or 1, 1), len(lines)) - 1
+            while k >= 0 and (tried.get(k) == 2 or not lines[k].strip()):
+                k -= 1
+            if k < 0:
+                break
+            line, head = lines[k].rstrip(), _HEAD.match(lines[k])
+            indent = line[:len(line) - len(line.lstrip())]
+            if k in tried:
+                lines[k] = b""
+            elif head:
+                lines[k] = head[0] + (b":" if head[2] == b"class" else b"():")
+            else:
+                lines[k] = indent + (b"if 1:" if line.endswith(b":") else b"pass")
+            tried[k] = tried.get(k, 0) + 1
+        except (ValueError, RecursionError):
+            break
+    return None, text, []
+
+
+def calls_by_tokens(source: Source, tokens, spans: list[tuple[int, int]]) -> list[tuple[str, str | None, str, int, int]]:
+    """Calls in some bytes of a text: a name and an opening bracket."""
+    out = []
+    for k, (kind, word, start, end) in enumerate(tokens[:-1]):
+        if (kind != tokenize.NAME or keyword.iskeyword(word) or tokens[k + 1][1] != "(" or not any(a <= start < b for a, b in spans)
+                or (k and tokens[k - 1][1] in ("def", "class"))):
+            continue
+        first = k
+        while first >= 2 and tokens[first - 1][1] == "." and tokens[first - 2][0] == tokenize.NAME:
+            first -= 2
+        depth = commas = 0
+        for j in range(k + 1, len(tokens)):
+            depth += (tokens[j][1] in "([{" and tokens[j][1] != "") - (tokens[j][1] in ")]}" and tokens[j][1] != "")
+            if not depth:
+                break
+            commas += depth == 1 and tokens[j][1] == ","
+        empty = tokens[min(k + 2, len(tokens) - 1)][1] == ")"
+        begin = tokens[first][2]
+        out.append((word, collapse(source.cut(begin, tokens[k - 2][3])) if first < k else None, collapse(source.cut(begin, end)),
+                    0 if empty else commas + (tokens[j - 1][1] != ","), begin))
+    return out
+
+
 def by_lines(source: Source) -> list[Symbol]:
     """Definitions of a text that does not parse, by its lines and indents."""
     rows: list[Symbol] = []
@@ -224,12 +297,15 @@ def by_lines(source: Source) -> list[Symbol]:
     return rows
 
 
-def tokens_of(source: Source) -> list[tuple[int, str, int, int]]:
-    """(type, string, start, end) with byte offsets; what a broken text gives."""
-    out, lines = [], source.text.split("\n")
+def tokens_of(source: Source, text: str | None = None) -> tuple[list[tuple[int, str, int, int]], bool]:
+    """(type, string, start, end) with byte offsets, and whether these are all: a
+    broken text gives those before the break.  ``text``: with other lines in the
+    place of some."""
+    text = source.text if text is None else text
+    out, lines = [], text.split("\n")
     ascii_only = source.text.isascii()
     starts = [0]
-    for line in lines:
+    for line in source.text.split("\n"):
         starts.append(starts[-1] + len(line if ascii_only else line.encode()) + 1)
 
     def place(row: int, column: int) -> int:
@@ -238,11 +314,11 @@ def tokens_of(source: Source) -> list[tuple[int, str, int, int]]:
         return starts[row - 1] + (column if ascii_only else len(lines[row - 1][:column].encode()))
 
     try:
-        for token in tokenize.generate_tokens(io.StringIO(source.text).readline):
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
             out.append((token.type, token.string, place(*token.start), place(*token.end)))
     except (tokenize.TokenError, SyntaxError, IndentationError):
-        pass
-    return out
+        return out, False
+    return out, True
 
 
 class Enclosing:
@@ -297,11 +373,12 @@ def _string_spans(tokens) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
 
 def parse_code(path: str, text: str) -> dict:
     """All rows of a file, as lists of tuples by relation."""
-    source = Source(text)
+    source, refused, error = Source(text), [], None
     try:
-        tree = ast.parse(text)
+        tree, read = ast.parse(text), text
     except (SyntaxError, ValueError, RecursionError):
-        tree = None
+        tree, read, refused = recovered(text)
+        error = "syntax error"
     if tree is None:
         symbols = by_lines(source)
     else:
@@ -309,9 +386,14 @@ def parse_code(path: str, text: str) -> dict:
         walker.body(tree.body, "", None, 1, True)
         symbols = walker.rows
     inside = Enclosing(symbols)
-    tokens = tokens_of(source)
+    tokens, whole = tokens_of(source)
+    if not whole and read is not text:  # what the tokenizer refuses was taken out, too
+        tokens, _ = tokens_of(source, read)
     strings = _string_spans(tokens)
     calls, names, regex_arguments, docs, soft = _from_tree(source, tree, tokens, strings)
+    for call in calls_by_tokens(source, tokens, refused if tree is not None else [(0, len(source.data) + 1)] if error else []):
+        calls.append(call)
+        names[call[4] + len(call[2].encode()) - len(call[0].encode())] = "call"
 
     def signature(s: Symbol) -> str:
         return collapse(source.cut(s.def_start, s.sig_end))
@@ -351,7 +433,7 @@ def parse_code(path: str, text: str) -> dict:
     guard = next((k + 1 for k in range(source.lines) if source.cut(
         source.starts[k], source.starts[k + 1] if k + 1 < source.lines else len(source.data)).lstrip().startswith("if __name__")), None)
     return {
-        "lines": source.lines, "error": None if tree is not None else "syntax error",
+        "lines": source.lines, "error": error,
         "has_main_guard": "__name__ ==" in text, "guard_line": guard,
         "symbols": symbol_rows, "calls": call_rows, "imports": sorted(_imports(source, tree), key=lambda r: (r[0], r[1], r[2] or "")),
         "idents": ident_rows, "texts": text_rows, "literals": literal_rows}

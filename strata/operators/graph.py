@@ -17,6 +17,8 @@ ALWAYS_LIVE = "main setup teardown".split()
 TIERS = ("certain", "likely", "possible")
 #: Definitions of a name that a packet lists for one call.
 MOST_DEFINITIONS = 3
+#: Lines of a file in which calls and spans are joined.
+STRETCH = 32
 
 
 def accepts(arity: Column, required: Column, most: Column) -> Column:
@@ -117,7 +119,10 @@ def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
         "name", F.concat("path", F.lit("#"), "dotted").alias("address"), "signature",
         F.row_number().over(place).alias("number"), F.count("*").over(Window.partitionBy("name")).alias("of"))
     calls = code.calls.select("path", "name", "line").distinct()
-    inside = calls.join(span, "path").where(F.col("line").between(F.col("s.start_line"), F.col("s.end_line")))
+    # Calls and spans meet in stretches of lines, so a long file is no product of both.
+    calls = calls.withColumn("stretch", F.floor(F.col("line") / STRETCH))
+    spans = span.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("s.start_line") / STRETCH), F.floor(F.col("s.end_line") / STRETCH))))
+    inside = calls.join(spans, ["path", "stretch"]).where(F.col("line").between(F.col("s.start_line"), F.col("s.end_line")))
     wanted = inside.select(F.concat("path", F.lit("#"), "dotted").alias("target"), "name").distinct()
     note = F.when(F.col("of") == 1, "certain").otherwise(F.concat(F.col("of").cast("string"), F.lit(" definitions share this name")))
     return wanted.join(named.where(F.col("number") <= MOST_DEFINITIONS), "name").groupBy("target", "address").agg(

@@ -11,6 +11,9 @@ from strata.functions.address import Address
 KINDS = {"any": None, "all": None, "function": "function", "func": "function", "fn": "function",
          "class": "class", "variable": "variable", "var": "variable"}
 
+#: Bytes of a file in which points and spans are joined.
+STRETCH = 1024
+
 
 def address(path: Column, dotted: Column, line: Column) -> Column:
     """``path#dotted``, or ``path#Ln`` at module level."""
@@ -71,12 +74,15 @@ def slice_lines(files: DataFrame, target: Address) -> DataFrame:
 
 
 def enclosing(symbols: DataFrame, points: DataFrame) -> DataFrame:
-    """The innermost symbol over each (path, byte): an interval join in its file."""
-    spans = symbols.select("path", "dotted", "span_start", "span_end", "ord")
-    numbered = points.withColumn("_row", F.monotonically_increasing_id())
+    """The innermost symbol over each (path, byte): an interval join in stretches
+    of its file.  Equal points have equal answers, so the join back is by point."""
+    spans = symbols.where("span_end > span_start").select("path", "dotted", "span_start", "span_end", "ord").withColumn(
+        "_stretch", F.explode(F.sequence(F.floor(F.col("span_start") / STRETCH), F.floor((F.col("span_end") - 1) / STRETCH))))
+    places = points.select("path", "byte").distinct().withColumn("_stretch", F.floor(F.col("byte") / STRETCH))
     over = (F.col("byte") >= F.col("span_start")) & (F.col("byte") < F.col("span_end"))
-    best = numbered.join(spans, "path").where(over).groupBy("_row").agg(F.max_by("dotted", F.struct("span_start", "ord")).alias("found"))
-    return numbered.join(best, "_row", "left").select(*points.columns, "found")
+    best = places.join(spans, ["path", "_stretch"]).where(over).groupBy("path", "byte").agg(
+        F.max_by("dotted", F.struct("span_start", "ord")).alias("found"))
+    return points.join(best, ["path", "byte"], "left").select(*points.columns, "found")
 
 
 def available(symbols: DataFrame, path: str, most: int = 50) -> DataFrame:

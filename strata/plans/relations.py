@@ -7,7 +7,7 @@ Parquet columns, so a command reads only the relations that it explodes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -173,20 +173,23 @@ class Docs:
 
 # ---- snapshots --------------------------------------------------------------
 
-def refresh_plan(listing: DataFrame, previous: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """(listing rows to parse, previous rows to keep with the listing's stat).
+def refresh_plan(listing: DataFrame, previous: DataFrame | None,
+                 read: Callable[[DataFrame], DataFrame] = lambda files: files) -> tuple[DataFrame, DataFrame | None]:
+    """(rows to parse, previous rows to keep with the listing's stat).
 
     A file is kept when size and time are as before, or else when its bytes are;
-    a file that is not listed any more is in neither.
+    a file that is not listed any more is in neither.  ``read`` opens listed
+    files, and only those whose size or time changed.
     """
     if previous is None:
-        return listing, None
-    now = listing.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"),
-                         F.sha2(F.col("content").cast("binary"), 256).alias("_hash"))
-    same = ((F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified"))) | (F.col("hash") == F.col("_hash"))
-    kept = previous.join(now, "path").where(same).withColumn("size", F.col("_size")).withColumn(
-        "modified", F.col("_modified")).drop("_size", "_modified", "_hash")
-    return listing.join(kept.select("path"), "path", "left_anti"), kept
+        return read(listing), None
+    stat = previous.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    still = listing.join(stat, "path").where((F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified"))).select("path")
+    changed = read(listing.join(still, "path", "left_anti"))
+    equal = changed.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.sha2(
+        F.col("content").cast("binary"), 256).alias("hash")).join(previous.select("path", "hash"), ["path", "hash"]).drop("hash")
+    moved = previous.join(equal, "path").withColumn("size", F.col("_size")).withColumn("modified", F.col("_modified")).drop("_size", "_modified")
+    return changed.join(equal.select("path"), "path", "left_anti"), previous.join(still, "path", "left_semi").unionByName(moved)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -198,13 +201,14 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
-def build(listing: DataFrame, folder: str | None = None, version: int = 0) -> Code:
+def build(listing: DataFrame, folder: str | None = None, version: int = 0,
+          read: Callable[[DataFrame], DataFrame] = lambda files: files) -> Code:
     """Parse what changed since snapshot ``version`` in ``folder`` and write the next."""
     spark = listing.sparkSession
     if folder is None:
-        return Code(parse_code(listing))
+        return Code(parse_code(read(listing)))
     old = read_snapshot(spark, f"{folder}/v{version}") if version else None
-    todo, kept = refresh_plan(listing, old)
+    todo, kept = refresh_plan(listing, old, read)
     wide = parse_code(todo)
     if kept is not None:
         wide = wide.unionByName(kept)

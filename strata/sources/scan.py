@@ -59,12 +59,16 @@ def list_tree(root: str, wanted: Callable[[str], bool]) -> list[tuple[str, str,
     return sorted(out, key=lambda row: row[0].split("/"))
 
 
-def read_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) -> DataFrame:
-    """(path, size, modified, content) of the files below root; a file is itself."""
+def listed_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """(path, full, size, modified) of the files below root; a file is itself."""
     listed = [(path, full, size, time.replace(tzinfo=None) if time else None) for path, full, size, time in list_tree(root, wanted)]
-    schema = "path string, full string, size long, modified timestamp"
     tasks = max(1, min(len(listed), sum(row[2] or 0 for row in listed) // TASK_BYTES + 1))
-    files = spark.createDataFrame(listed, schema).repartition(tasks)
+    return spark.createDataFrame(listed, "path string, full string, size long, modified timestamp").repartition(tasks)
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """Listed files with their content; one that cannot be read, or that is gone
+    by now, is passed over."""
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -72,20 +76,38 @@ def read_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) ->
         for batch in it:
             for k in range(batch.num_rows):
                 full = batch.column(1)[k].as_py()
-                store, place = fs.FileSystem.from_uri(full) if "://" in full else (fs.LocalFileSystem(), full)
-                with store.open_input_file(place) as src:
-                    body = src.read()
+                try:
+                    store, place = fs.FileSystem.from_uri(full) if "://" in full else (fs.LocalFileSystem(), full)
+                    with store.open_input_file(place) as src:
+                        body = src.read()
+                except OSError:
+                    continue
                 row = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays(
                     [row.column(0), row.column(2), row.column(3), pa.array([body], pa.binary())],
                     names=["path", "size", "modified", "content"])
 
-    return files.mapInArrow(read, "path string, size long, modified timestamp, content binary")
+    return files.select("path", "full", "size", "modified").mapInArrow(
+        read, "path string, size long, modified timestamp, content binary")
+
+
+def read_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """(path, size, modified, content) of the files below root; a file is itself."""
+    return opened(listed_tree(spark, root, wanted))
+
+
+def _is_source(name: str) -> bool:
+    return name.endswith((".py", ".pyi"))
+
+
+def source_listing(spark: SparkSession, root: str) -> DataFrame:
+    """The Python files of a tree, not opened yet."""
+    return listed_tree(spark, root, _is_source)
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """Python files of a tree; the language is by extension, as written."""
-    return read_tree(spark, root, lambda name: name.endswith((".py", ".pyi"))).withColumn("lang", F.lit("python"))
+    return read_tree(spark, root, _is_source).withColumn("lang", F.lit("python"))
 
 
 def doc_files(spark: SparkSession, root: str) -> DataFrame:
@@ -103,8 +125,8 @@ def doc_format(path: Column) -> Column:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """Build manifests at most two levels below the root."""
-    rows = read_tree(spark, root, lambda name: name in MANIFESTS or name.startswith("requirements"))
-    return rows.where(F.size(F.split("path", "/")) <= 2)
+    rows = listed_tree(spark, root, lambda name: name in MANIFESTS or name.startswith("requirements"))
+    return opened(rows.where(F.size(F.split("path", "/")) <= 2))
 
 
 def console_scripts(manifest: DataFrame, files: DataFrame) -> DataFrame:

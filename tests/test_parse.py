@@ -132,3 +132,59 @@ def test_budget():
         ("full", False), ("summary", True), ("counts", True), ("counts", True)]
     assert (commas(1234), plural(1, "match", "matches"), plural(2, "match", "matches"), pad("abc", 2)) == ("1,234", "1 match", "2 matches", "abc")
     assert str(Page().gap().add("a").gap().gap().add("b").gap()) == "a\n\nb\n" and shown(2, 2, "m") == []
+
+
+def test_texts_that_do_not_parse():
+    """What stands around a refused line is read as if the line were not there."""
+    from strata.functions.parse_code import parse_code
+
+    def rows(text):
+        found = parse_code("p.py", text)
+        assert found["error"] == "syntax error"
+        return ([(s[4], s[7], s[8]) for s in found["symbols"]], [(c[2], c[3], c[4], c[6]) for c in found["calls"]], found["imports"])
+
+    old = "from x import y\ndef g():\n    used(1, 2)\n    print 'x', self.a.b(3)\n    return 1\nclass A:\n    def f(self): return g()\n"
+    assert rows(old) == ([("g", 2, 5), ("A", 6, 7), ("A.f", 7, 7)], [
+        ("used", 2, 3, "g"), ("self.a.b", 1, 4, "g"), ("g", 0, 7, "A.f")], [("x", "y", None)])
+    assert rows("def a(:\n    b(1)\n\ndef c():\n    d(2)\n")[:2] == (
+        [("a", 1, 2), ("c", 4, 5)], [("b", 1, 2, "a"), ("d", 1, 5, "c")])
+    assert rows("def e():\n\nf()\n")[0][0][0] == "e" and rows("def e():\n\nf()\n")[1] == [("f", 0, 3, None)]
+    assert rows("s = \'\'\'abc\ndef z():\n    y()\n")[:2] == ([("z", 2, 3)], [("y", 0, 3, "z")])
+    assert rows("if x\n    q()\nelse:\n    r()\n")[1] == [("q", 0, 2, None), ("r", 0, 4, None)]
+    assert parse_code("p.py", "\0 def")["error"] == "syntax error"
+
+
+def test_dead_sees_calls_of_broken_files(spark):
+    from strata.operators import graph
+    from strata.plans.relations import Code, parse_code
+
+    files = spark.createDataFrame([("a.py", "def used():\n    return 1\n\ndef lost():\n    return 2\n"),
+                                   ("b.py", "print 'x'\nused()\n")], "path string, content string")
+    assert [r.address for r in graph.dead(Code(parse_code(files))).collect()] == ["a.py#lost"]
+
+
+def test_refresh_opens_what_changed(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from strata.plans.relations import refresh_plan
+
+    day = datetime.datetime(2024, 1, 1)
+    listing = spark.createDataFrame([("same", 3, day), ("touched", 3, day), ("edited", 4, day), ("new", 1, day)],
+                                    "path string, size long, modified timestamp")
+    old = datetime.datetime(2023, 1, 1)
+    sha = lambda t: __import__("hashlib").sha256(t).hexdigest()
+    before = spark.createDataFrame([("same", 3, day, "not looked at"), ("touched", 3, old, sha(b"touched")),
+                                    ("edited", 4, old, sha(b"old")), ("gone", 1, day, "x")],
+                                   "path string, size long, modified timestamp, hash string")
+    seen = []
+
+    def read(files):
+        seen.append(sorted(r.path for r in files.collect()))
+        return files.withColumn("content", F.col("path").cast("binary"))
+
+    todo, kept = refresh_plan(listing, before, read)
+    assert seen == [["edited", "new", "touched"]]
+    assert sorted(r.path for r in todo.collect()) == ["edited", "new"]
+    assert sorted((r.path, r.modified) for r in kept.collect()) == [("same", day), ("touched", day)]
