@@ -1,13 +1,14 @@
-"""Rendered output that fits a budget by saying less, never by cutting.
+"""Reports that fit a budget by saying less, never by cutting.
 
-A report has three renderings.  ``fit`` takes the first whose estimated cost is
-within the budget, and the shortest one if none is.
+A report is a list of parts, each with the levels of detail at which it shows.
+The level is the first whose layout costs no more than the budget, or the
+tersest one if none does.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from dataclasses import dataclass
 
 DEFAULT = 4000
 LADDER = ("full", "summary", "counts")
@@ -18,14 +19,33 @@ def estimate_tokens(text: str) -> int:
     return max(units, -(-len(text) // 4))
 
 
-def fit(budget: int, render: Callable[[str], str]) -> tuple[str, str, bool]:
-    """(text, detail, degraded)."""
-    text = detail = ""
-    for detail in LADDER:
-        text = render(detail)
-        if estimate_tokens(text) <= budget:
-            return text, detail, detail != LADDER[0]
-    return text, detail, True
+@dataclass(frozen=True)
+class Part:
+    """Lines that belong together; ``at``: initials of the levels that show them.
+
+    A blank line sets a part off from what is above it, unless it is ``near``.
+    """
+
+    at: str
+    lines: list[str]
+    near: bool = False
+
+
+def lay_out(parts: list[Part], level: str) -> str:
+    text = ""
+    for part in parts:
+        if part.lines and level[0] in part.at:
+            apart = text and not part.near and not text.endswith("\n\n") and text != "\n"
+            text += ("\n" if apart else "") + "\n".join(part.lines) + "\n"
+    body = text.rstrip("\n")
+    return body + "\n" if body else ""
+
+
+def within(budget: int, parts: list[Part]) -> tuple[str, str]:
+    """The layout that is taken, and its level."""
+    layouts = {level: lay_out(parts, level) for level in LADDER}
+    level = next((level for level, text in layouts.items() if estimate_tokens(text) <= budget), LADDER[-1])
+    return layouts[level], level
 
 
 def commas(n: int) -> str:
@@ -44,33 +64,5 @@ def widest(texts, most: int) -> int:
     return min(most, max((len(t) for t in texts), default=0))
 
 
-class Page:
-    """Lines without a blank at either end or two in a row by accident."""
-
-    def __init__(self, *lines: str):
-        self.lines = list(lines)
-
-    def add(self, *lines: str) -> Page:
-        self.lines += lines
-        return self
-
-    def gap(self) -> Page:
-        if self.lines and self.lines[-1]:
-            self.lines.append("")
-        return self
-
-    def block(self, text: str) -> Page:
-        return self.add(*text.split("\n"))
-
-    def closing(self, quiet: bool, line: str) -> Page:
-        return self if quiet else self.gap().add(line)
-
-    def __str__(self) -> str:
-        end = len(self.lines)
-        while end and not self.lines[end - 1]:
-            end -= 1
-        return "".join(line + "\n" for line in self.lines[:end])
-
-
 def shown(some: int, all_: int, more: str) -> list[str]:
     return [] if some >= all_ else [f"showing {commas(some)} of {commas(all_)} — {more}"]

@@ -3,7 +3,7 @@
 import pytest
 
 from strata.functions.address import AddressError, doc_format, line_span, parse_address, parse_doc_address, slash_path
-from strata.functions.budget import Page, commas, estimate_tokens, fit, pad, plural, shown
+from strata.functions.budget import Part, commas, estimate_tokens, lay_out, pad, plural, shown, within
 from strata.functions.parse_code import parse_code
 from strata.functions.parse_doc import DocError, parse_doc
 
@@ -127,11 +127,12 @@ def test_addresses():
 
 def test_budget():
     assert estimate_tokens("a_b c, d") == 4 and estimate_tokens("abcdefghi") == 3 and estimate_tokens("") == 0
-    texts = {"full": "word " * 30, "summary": "word " * 10, "counts": "word " * 5}
-    assert [fit(n, texts.__getitem__)[1:] for n in (100, 20, 8, 1)] == [
-        ("full", False), ("summary", True), ("counts", True), ("counts", True)]
+    parts = [Part(level[0], ["word " * n]) for level, n in (("full", 30), ("summary", 10), ("counts", 5))]
+    assert [within(n, parts)[1] for n in (100, 20, 8, 1)] == ["full", "summary", "counts", "counts"]
     assert (commas(1234), plural(1, "match", "matches"), plural(2, "match", "matches"), pad("abc", 2)) == ("1,234", "1 match", "2 matches", "abc")
-    assert str(Page().gap().add("a").gap().gap().add("b").gap()) == "a\n\nb\n" and shown(2, 2, "m") == []
+    parts = [Part("f", []), Part("fs", ["a"]), Part("s", ["x"]), Part("f", ["b", ""], near=True), Part("f", ["c", ""])]
+    assert lay_out(parts, "full") == "a\nb\n\nc\n" and lay_out(parts, "summary") == "a\n\nx\n" and lay_out(parts, "counts") == ""
+    assert shown(2, 2, "m") == []
 
 
 def test_texts_that_do_not_parse():
