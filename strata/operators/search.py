@@ -19,7 +19,7 @@ CAP = 5000
 
 
 class PatternError(ValueError):
-    """A pattern that the linear-time dialect does not have."""
+    """A pattern that the dialect does not have."""
 
 
 def matches(text: Column, pattern: str, exact: bool = False) -> Column:
@@ -29,8 +29,8 @@ def matches(text: Column, pattern: str, exact: bool = False) -> Column:
         return text == pattern
     if re.search(r"\(\?(?:=|!|<=|<!)|\\[1-9]|\(\?P=|\\k<", re.sub(r"\\\\", "", pattern)):
         raise PatternError(f"pattern `{pattern}`: look-around and back-references are not supported")
-    try:
-        re.compile(pattern)
+    try:  # \p{..} and \z are the JVM's as well, but not Python's
+        re.compile(re.sub(r"\\(?:[pP](?:\{\^?\w+\}|\w)|[xX]\{\w+\}|(z))", lambda m: r"\Z" if m[1] else r"\w", pattern))
     except re.error as error:
         raise PatternError(f"pattern `{pattern}`: {error}") from error
     return text.rlike("(?U)" + re.sub(r"\(\?P<", "(?<", pattern))

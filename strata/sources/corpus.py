@@ -5,6 +5,11 @@ result from the tables.  Files: ``defs`` has one function an order, ``uses`` one
 function a line item that calls it, ``parts`` one class a part, ``routes`` one
 decorated function a nation; JSON, YAML and Markdown come from regions,
 customers and conversations.
+
+A second, smaller tree (``kit``) has one module a nation and its test, with what
+the first one lacks: docstrings, overloads, nested classes, recursion, exports,
+aliases, interpolated strings, a test folder, a package file and a file with a
+line that does not parse.
 """
 
 from __future__ import annotations
@@ -61,7 +66,97 @@ SELECT concat('talks/t', conv_id, '.md'), 'markdown', concat('# Talk ', conv_id,
 FROM (SELECT DISTINCT conv_id, turn, role FROM {conversations}) GROUP BY conv_id
 """
 
+#: Line for line, so that the SQL of the queries can name its places.
+KIT_MODULE = """\"\"\"Nation {name}.\"\"\"
+from .base import help_{region} as h{k}
+import os.path
+
+__all__ = ["shown_{k}", 'Kit_{k}']
+LIMIT = {k}
+_hidden = 1
+
+class Kit_{k}(Base):
+    \"\"\"Kit of {name}.\"\"\"
+    SIZE = {k}
+
+    @overload
+    def pick(self, a: int) -> Kit_{k}: ...
+
+    @overload
+    def pick(self, a: str, b: str) -> str: ...
+
+    def pick(self, a, b=None):
+        # chooses {name}
+        return f"{name}-{{a}}-{{b!r}}"
+
+    class Inner:
+        async def deep(self, *args: Kit_{k}, **kw):
+            return self.deep(1), r"^{name}$"
+
+def shown_{k}(x, *rest):
+    if x > {k}:
+        return shown_{k}(x - 1)
+    return help_{region}(x) + h{k}(x, x), other.deep(x, x)
+
+def lost_{k}():
+    return "same text"
+
+if LIMIT:
+    def nested_{k}(): return "same text"
+"""
+KIT_TEST = """from kit.n{k} import shown_{k}
+
+def test_shown_{k}():
+    assert shown_{k}({k}) and lost_in_tests()
+
+def lost_in_tests(): pass
+"""
+KIT_BASE = """def help_{region}(x): return x
+"""
+KIT_BROKEN = """def before():
+    kept_by_broken()
+
+print 'old'
+
+def kept_by_broken():
+    before()
+    exec 'x' in {{}}
+    alone()
+
+def never_called(): pass
+"""
+KIT_PACKAGE = "def only_here(): pass\n"
+
+
+def _concat(text: str, fields: dict[str, str]) -> str:
+    """A template as an SQL expression."""
+    import re
+
+    parts = []
+    for literal, name in re.findall(r"((?:[^{}]|\{\{|\}\})+)|\{(\w+)\}", text):
+        if name:
+            parts.append(f"CAST({fields[name]} AS STRING)")
+        else:
+            literal = literal.replace("{{", "{").replace("}}", "}").replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+            parts.append(f"'{literal}'")
+    return f"concat({', '.join(parts)})"
+
+
+def kit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"k": "n_nationkey", "name": "n_name", "region": "n_regionkey"}
+    once = " UNION ALL ".join(f"SELECT '{path}', {_concat(text, {})}" for path, text in (
+        ("kit/broken.py", KIT_BROKEN), ("kit/__init__.py", KIT_PACKAGE)))
+    text = f"""SELECT concat('kit/n', n_nationkey, '.py') AS path, {_concat(KIT_MODULE, fields)} AS content FROM __nation
+        UNION ALL SELECT concat('kit/tests/test_n', n_nationkey, '.py'), {_concat(KIT_TEST, fields)} FROM __nation
+        UNION ALL SELECT 'kit/base.py', array_join(transform(array_sort(collect_list(n_regionkey)), k -> {_concat(KIT_BASE, {"region": "k"})}), '')
+          FROM (SELECT DISTINCT n_regionkey FROM __nation) UNION ALL {once}"""
+    # Braces of the texts are not placeholders.
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("__nation", "{nation}"), nation=nation)
+
+
 _BUILT: dict[tuple, tuple[Code, Docs]] = {}
+_KITS: dict[tuple, Code] = {}
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -77,6 +172,16 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _DOCS)
 
 
+def kit(spark: SparkSession, sf_dir: str) -> Code:
+    """The parsed second tree of a folder, written once a session."""
+    from strata.plans.scratch import keep
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KITS:
+        _KITS[key] = Code(keep(parse_code(kit_files(spark, sf_dir)), "kit"))
+    return _KITS[key]
+
+
 def built(spark: SparkSession, sf_dir: str) -> tuple[Code, Docs]:
     """The parsed corpus of a folder, written once a session."""
     from strata.plans.scratch import keep

@@ -189,3 +189,14 @@ def test_refresh_opens_what_changed(spark):
     assert seen == [["edited", "new", "touched"]]
     assert sorted(r.path for r in todo.collect()) == ["edited", "new"]
     assert sorted((r.path, r.modified) for r in kept.collect()) == [("same", day), ("touched", day)]
+
+
+def test_patterns(spark):
+    from strata.operators.search import PatternError, matches
+
+    words = spark.createDataFrame([("Ab",), ("ab",), ("É1",)], "w string")
+    found = lambda pattern: sorted(r.w for r in words.where(matches(words["w"], pattern)).collect())
+    assert found(r"^\p{Lu}\w+\z") == ["Ab", "É1"] and found(r"\P{L}$") == ["É1"] and found(r"(?P<x>a)b") == ["ab"]
+    for bad in ("(", "a(?=b)", r"(a)\1"):
+        with pytest.raises(PatternError):
+            matches(words["w"], bad)
