@@ -24,9 +24,12 @@ HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.  Only a local master, which
+    is one machine, may go without; it gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
         spark.conf.set("spark.checkpoint.dir", configured)
         _ROOTS.append((spark, configured))
@@ -119,7 +122,8 @@ def attach_unique(rows: DataFrame, side: DataFrame, key: str, weight: str, how:
 
 
 def ordered_id(name: str) -> Column:
-    """An id for ordering: null ids come after every other id."""
+    """An id for ordering: null ids come after every other id.  They take the
+    largest number, 2**63 - 1, which is reserved for them: no row may have it."""
     return F.coalesce(F.col(name).cast("long"), F.lit(2**63 - 1))
 
 
