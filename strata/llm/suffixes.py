@@ -13,10 +13,13 @@ the bucket, whose phrases form one text.  ``expand_intervals`` builds the BWT
 of that text and extends all intervals backward, breadth first, so common
 prefixes come out by increasing value until LENGTH is reached; the intervals
 that are left hold windows equal in LENGTH bytes, and the earliest stays.
+An anchor in very many contexts, such as a common line, is parted by the bytes
+beside it, so that no text grows with it (``parted``).
 
 Defined results: texts are UTF-8 bytes, whole; null and empty texts have none;
 windows never cross documents; rows that share an id are taken in stored order;
-a null id comes last and stays null; an empty table gives an empty result.
+a null id comes last (as 2**63 - 1, which is reserved for it) and stays null; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -250,6 +253,8 @@ def send_blob(phrases: Phrases, entries: np.ndarray, ids: np.ndarray, data: np.n
 
 #: Phrases of a bucket are transformed in runs of whole anchors of this size.
 TEXT_BYTES = 1 << 18
+#: The phrases of an anchor that hold more than this are parted (``parted``).
+HOT_BYTES = 1 << 19
 
 
 def _phrase_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -257,7 +262,37 @@ def _phrase_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
 
 
-def interval_answers(length: int):
+def _hashes_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    found = textvec.run_hashes(textvec._RANDOM[data], n)
+    return found[np.minimum(at, len(found) - 1)] if len(found) else np.zeros(len(at), np.uint64)
+
+
+def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int, gram: int):
+    """Phrases of an anchor in two parts each: (start, size, key) of the parts.
+
+    Windows that begin well ahead of the anchor have the bytes before it in common
+    wherever they are equal, the others those after it.  So parts with different
+    keys have no equal window, every window lies in one part, and an anchor that
+    stands in very many contexts falls apart.
+    """
+    half = (length - gram) // 2
+    place = _phrase_places(start, size)
+    same = textvec.mix(_hashes_at(data, place, gram) ^ _SPREAD) == np.repeat(anchor, size)
+    own = np.repeat(np.arange(len(start)), size)
+    last = start + size - length  # the last window begins here, and the anchor not before it
+    found = np.flatnonzero(same & (place >= last[own]) & (place + gram <= (start + size)[own]))
+    at = place[found[np.searchsorted(own[found], np.arange(len(start)))]]
+    left = np.flatnonzero(at - half >= start)
+    to = np.minimum(at - half, last)[left]
+    right = np.flatnonzero(last > at - half)
+    since = np.maximum(at - half + 1, start)[right]
+    before = _hashes_at(data, (at - half)[left], half) if half else np.zeros(len(left), np.uint64)
+    after = _hashes_at(data, (at + gram)[right], length - half + 1 - gram)
+    return (np.concatenate((start[left], since)), np.concatenate((to - start[left] + length, (start + size)[right] - since)),
+            np.concatenate((before, ~after)), np.concatenate((left, right)))
+
+
+def interval_answers(length: int, gram: int):
     def answer(blocks: list[int], blobs: list[bytes]) -> list[bytes]:
         """Round 2 in a bucket: for each window of each phrase, is it a repeat?"""
         parts = [B.split_blobs(blob) for blob in blobs]
@@ -268,17 +303,26 @@ def interval_answers(length: int):
         own = np.repeat(np.arange(len(parts)), [len(s) for s in sizes])
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
         order = np.lexsort((row, own, doc, anchor))  # in an anchor the earliest place first
-        first = np.flatnonzero(_runs(anchor[order]))
-        filled = np.concatenate(([0], np.cumsum(size[order])))
-        out, at = np.zeros(len(data), bool), 0
-        while at < len(first):
-            to = max(at + 1, int(np.searchsorted(filled[first], filled[first[at]] + TEXT_BYTES)))
-            some = order[first[at]:first[to] if to < len(first) else len(order)]
-            n = size[some]
-            place = _phrase_places(start[some], n)
-            within = np.arange(len(place)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            out[place] = repeated_windows(data[place], within < np.repeat(n - length + 1, n), length)
-            at = to
+        out = np.zeros(len(data), bool)
+
+        def settle_runs(start: np.ndarray, size: np.ndarray, key: np.ndarray, hot: int | None) -> None:
+            """Texts of whole keys, the earliest place of each first, one after another."""
+            first = np.append(np.flatnonzero(_runs(key)), len(key)) if len(key) else np.zeros(1, np.int64)
+            filled, at = np.concatenate(([0], np.cumsum(size))), 0
+            while at < len(first) - 1:
+                to = max(at + 1, int(np.searchsorted(filled[first], filled[first[at]] + TEXT_BYTES, "right")) - 1)
+                some = slice(first[at], first[to])
+                at, n = to, size[some]
+                if hot is not None and int(n.sum()) > hot:
+                    begin, long, keys, number = parted(data, start[some], n, key[some], length, gram)
+                    again = np.lexsort((number, keys))
+                    settle_runs(begin[again], long[again], keys[again], None)
+                    continue
+                place = _phrase_places(start[some], n)
+                within = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+                out[place[repeated_windows(data[place], within < np.repeat(n - length + 1, n), length)]] = True
+
+        settle_runs(start[order], size[order], anchor[order], HOT_BYTES)
         cuts = np.cumsum([len(t) for t in texts])[:-1]
         return [B.squeeze(np.packbits(part).tobytes()) for part in np.split(out, cuts)]
 
@@ -327,7 +371,7 @@ def removals(docs: DataFrame, finish, schema: str, id_col: str, text: str, lengt
         cut = np.searchsorted(entries, bounds)
         yield B.question_batch(grp, block, cut, lambda a, b: send_blob(phrases, entries[a:b], ids, data))
 
-    round2 = B.ask(B.each_block(frozen, send, B.QUESTION, round1), interval_answers(length), scratch, "round2", buckets)
+    round2 = B.ask(B.each_block(frozen, send, B.QUESTION, round1), interval_answers(length, gram), scratch, "round2", buckets)
     said = B.Answers(round1)
 
     def judge(grp, block, ids, data, offsets, answers) -> Iterator[pa.RecordBatch]:

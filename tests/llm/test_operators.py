@@ -185,6 +185,34 @@ def test_minhash_blocks(docs, rows, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == component
 
 
+def test_recall_at_the_threshold():
+    """Of pairs just at the threshold, bands and screen lose none."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strata.llm import minhash, textvec
+
+    r = random.Random(12)
+    for percent, size in ((85, 3), (80, 5)):
+        per_band, bands, least = minhash.banding(percent)
+        for shared in (17, 34, 170, 850):
+            texts = []
+            for pair in range(150):  # sets of single words, sized so that the similarity is the threshold
+                both = [f"s{r.random()}" for _ in range(shared * percent // 85)]
+                extra = max(0, int(len(both) * 100 / percent + 1e-9) - len(both))
+                texts += [" ".join([*both, *(f"a{r.random()}" for _ in range(extra // 2))]),
+                          " ".join([*both, *(f"b{r.random()}" for _ in range(extra - extra // 2))])]
+            value, bounds = minhash.shingle_sets(*textvec.buffers(pa.array(texts)), 1)
+            marks = minhash.signatures(value, bounds, per_band * bands)
+            left, right = marks[::2], marks[1::2]
+            met = (left.reshape(-1, bands, per_band) == right.reshape(-1, bands, per_band)).all(2).any(1)
+            assert met.all() and ((left == right).sum(1) >= least).all()
+            for k in range(0, len(texts), 2):
+                one, two = (set(value[bounds[j]:bounds[j + 1]].tolist()) for j in (k, k + 1))
+                assert percent / 100 <= len(one & two) / len(one | two) <= percent / 100 + 0.06
+    assert np.array_equal(minhash.shared_with(np.array([1, 5], np.uint64), np.array([1, 5, 7, 5], np.uint64), np.array([0, 3, 4])), [2, 1])
+
+
 def test_components_of_a_long_path(spark):
     from strata.llm.common import Scratch
     from strata.llm.components import components
@@ -210,6 +238,37 @@ def test_suffixes(docs, rows, nothing, odd):
         (False, False), (False, True), (False, True), (True, False), (True, True)]
 
 
+def test_hot_anchors():
+    """One common line in many contexts: the parts give what one text gives."""
+    import numpy as np
+
+    from strata.llm import blocks, suffixes
+
+    r = random.Random(9)
+    line = b"this line stands in every document and in many places of it"
+    around = [bytes(r.choice(b"abcd ") for _ in range(90)) for _ in range(60)]
+    texts = [r.choice(around)[r.randrange(20):] + line + r.choice(around)[:r.randrange(60, 90)] for _ in range(400)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    phrases = suffixes.Phrases(data, offsets, 100, 32)
+    blob = suffixes.send_blob(phrases, np.arange(len(phrases.first)), np.arange(len(texts)), data)
+    kept, said = suffixes.HOT_BYTES, []
+    try:
+        for suffixes.HOT_BYTES in (0, 3000, 1 << 30):
+            said.append(blocks.expand(suffixes.interval_answers(100, 32)([0], [blob])[0]))
+    finally:
+        suffixes.HOT_BYTES = kept
+    assert said[0] == said[1] == said[2] and any(said[0])
+
+
+def test_suffixes_parted(docs, rows, monkeypatch):
+    from strata.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "HOT_BYTES", 0)
+    texts = [(t or "").encode() for _, t in rows]
+    got = {r.doc_id: r.n_removed for r in suffixes.digest(docs).collect()}
+    assert got == {doc: sum(gone) for (doc, _), gone in zip(rows, brute.byte_marks(texts), strict=True)}
+
+
 def test_intervals_of_small_texts():
     import numpy as np
 
