@@ -110,7 +110,7 @@ def packet_callers(code: Code, targets: DataFrame, tests: bool = True) -> DataFr
 
 def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
     """What the lines of each target call: up to three definitions of a name."""
-    symbols = code.symbols
+    symbols = code.some("symbols", "name", "dotted", "signature", "ord", "start_line", "end_line")
     span = symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"]).groupBy("path", "dotted").agg(
         F.min_by(F.struct("start_line", "end_line"), "ord").alias("s"))
     # Paths in order, then source order: the order in which definitions are listed.
@@ -118,7 +118,7 @@ def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
     named = symbols.select(
         "name", F.concat("path", F.lit("#"), "dotted").alias("address"), "signature",
         F.row_number().over(place).alias("number"), F.count("*").over(Window.partitionBy("name")).alias("of"))
-    calls = code.calls.select("path", "name", "line").distinct()
+    calls = code.some("calls", "name", "line")
     # Calls and spans meet in stretches of lines, so a long file is no product of both.
     calls = calls.withColumn("stretch", F.floor(F.col("line") / STRETCH))
     spans = span.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("s.start_line") / STRETCH), F.floor(F.col("s.end_line") / STRETCH))))

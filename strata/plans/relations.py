@@ -125,6 +125,12 @@ class Code:
     def _explode(self, name: str) -> DataFrame:
         return self.wide.select("path", F.explode(name).alias("r")).select("path", "r.*")
 
+    def some(self, name: str, *fields: str) -> DataFrame:
+        """A relation with some of its fields: only these are read of a snapshot,
+        which an explosion of whole structs would read in full."""
+        zipped = F.arrays_zip(*[F.col(f"{name}.{f}").alias(f) for f in fields])
+        return self.wide.select("path", F.explode(zipped).alias("r")).select("path", *[F.col(f"r.{f}").alias(f) for f in fields])
+
     @property
     def files(self) -> DataFrame:
         return self.wide.select(
