@@ -21,8 +21,8 @@ decide.  The result is that of one array, however the host is dealt.
 
 Defined results: null and empty html give an empty text; markup that never
 closes is read as far as it goes; repeated rows get equal texts; a null url is a
-host of its own, by row; an empty table gives an empty result; further columns
-are ignored.  Nothing is capped: pages are read whole.
+host of its own, by row; a page without any text is no body; an empty table gives
+an empty result; further columns are ignored.  Nothing is capped: pages are read whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +48,9 @@ SHARE = 2
 LEAST_BODIES = 3
 GROUP_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20
+#: Streams that a task holds before it sends them on, packed by host.
+BUNDLE_BYTES = 16 << 20
+BUNDLE = "host string, block long, pages binary"
 KEPT, UNDECIDED, DROPPED = 0, 1, 2
 #: An undecided segment with more of its characters in links is a menu.
 MOST_LINKED = 0.6
@@ -193,28 +197,41 @@ def segments(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def _suffixes(pages: list[list[list[str]]], owners: list[int], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place of the concatenated streams the number of owners, the hash
-    of its first ``run`` tokens, and whether these stand inside one page.
-
-    The suffix array is built by prefix doubling and holds the suffixes in the
-    order of their first ``run`` tokens.  A segment's border is a token as well,
-    so short segments repeat as a whole.  ``owners`` ascend.
-    """
-    words: dict[str, int] = {"": 0}
+def _streams(pages: list[list[list[str]]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pages' streams as one: token numbers, page of each place, the hash of
+    the ``run`` tokens from it, and whether these stand inside one page.  A
+    segment's border is a token as well, so short segments repeat as a whole."""
+    words: defaultdict[str, int] = defaultdict()
+    words.default_factory = words.__len__  # the next number for a new word
+    words[""] = 0
     stream: list[int] = []
     page_of: list[int] = []
     ends: list[int] = []
     for number, page in enumerate(pages):
         for segment in page:
             stream.append(0)
-            stream.extend(words.setdefault(w, len(words)) for w in segment)
+            stream.extend(map(words.__getitem__, segment))
         stream.append(-1 - number)  # no run crosses a page
         page_of.extend([number] * (len(stream) - len(page_of)))
         ends.append(len(stream) - 1)
     n = len(stream)
     tokens, page_at = np.array(stream, np.int64), np.array(page_of, np.int64)
+    table = np.array([_number(w) for w in words], np.uint64)
+    hashes = np.zeros(n, np.uint64)
+    found = run_hashes(np.where(tokens < 0, np.uint64(0), table[np.maximum(tokens, 0)]), run)
+    hashes[:len(found)] = found
+    return tokens, page_at, hashes, np.arange(n) + run <= np.array(ends)[page_at]
+
+
+def _suffixes(tokens: np.ndarray, owner: np.ndarray, run: int) -> np.ndarray:
+    """For each place of the streams the number of owners of its first ``run`` tokens.
+
+    The suffix array is built by prefix doubling and holds the suffixes in the
+    order of these tokens.  ``owner`` ascends.
+    """
+    n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable") if run == 1 else None
     length = 1
     while length < run:
         step = min(length, run - length)
@@ -226,19 +243,14 @@ def _suffixes(pages: list[list[list[str]]], owners: list[int], run: int) -> tupl
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         length += step
-    order = np.argsort(rank, kind="stable")
-    owner, sorted_rank = np.array(owners, np.int64)[page_at][order], rank[order]
+    owner, sorted_rank = owner[order], rank[order]
     first = np.concatenate(([True], sorted_rank[1:] != sorted_rank[:-1]))
     other = first.copy()
     other[1:] |= owner[1:] != owner[:-1]
     bounds = np.flatnonzero(first)
     count = np.empty(n, np.int64)
     count[order] = np.repeat(np.add.reduceat(other.astype(np.int64), bounds), np.diff(np.concatenate((bounds, [n]))))
-    table = np.array([_number(w) for w in words], np.uint64)
-    hashes = np.zeros(n, np.uint64)
-    found = run_hashes(np.where(tokens < 0, np.uint64(0), table[np.maximum(tokens, 0)]), run)
-    hashes[:len(found)] = found
-    return count, hashes, np.arange(n) + run <= np.array(ends)[page_at]
+    return count
 
 
 def _number(text: str) -> int:
@@ -266,12 +278,14 @@ def _runs(pages: list[list[list[str]]], starts: np.ndarray, run: int) -> list[li
 def repeated(pages: list[list[list[str]]], run: int = MIN_RUN) -> list[list[np.ndarray]]:
     """For the tokens of each segment of each page: do they stand in a run that
     another page has too?"""
-    count, _, _ = _suffixes(pages, list(range(len(pages))), run)
-    return _runs(pages, np.flatnonzero(count > 1), run)
+    tokens, page_at, _, _ = _streams(pages, run)
+    return _runs(pages, np.flatnonzero(_suffixes(tokens, page_at, run) > 1), run)
 
 
 def _whole_runs(hit: np.ndarray, run: int) -> np.ndarray:
     """A run that reaches over a border takes a short segment whole or leaves it."""
+    if not hit.any():
+        return hit
     edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     out = hit.copy()
     for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -319,32 +333,49 @@ class Block:
         rows = {row[1]: row for row in sorted(zip(*columns, strict=True), reverse=True)}  # the least stays
         rows = sorted(rows.values())
         number: dict[bytes, int] = {}
-        owners = [number.setdefault(body, len(number)) for body, *_ in rows]
+        self.owners = np.array([number.setdefault(body, len(number)) for body, *_ in rows], np.int64)
         self.bodies, self.shapes = len(number), [shape for _, shape, *_ in rows]
         lines = [stream.split("\n") for *_, stream in rows]
         self.kinds = [[int(line[0]) for line in page] for page in lines]
         self.tokens = [[line[1:].split(" ") for line in page] for page in lines]
-        count, self.hashes, self.inside = _suffixes(self.tokens, owners, MIN_RUN)
-        keys, at = np.unique(self.hashes[self.inside], return_index=True)
+        self.stream, self.page_at, self.hashes, self.inside = _streams(self.tokens, MIN_RUN)
         self.whole = [[_number("\n" + line[1:]) if len(t) >= MIN_SEGMENT else None for line, t in zip(page, told, strict=True)]
                       for page, told in zip(lines, self.tokens, strict=True)]
+
+    def _segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, number of bodies) of the whole segments."""
         having: dict[int, set[int]] = {}
-        for owner, page in zip(owners, self.whole, strict=True):
+        for owner, page in zip(self.owners.tolist(), self.whole, strict=True):
             for key in page:
                 if key is not None:
                     having.setdefault(key, set()).add(owner)
-        keys = np.concatenate((keys, np.array(list(having), np.uint64)))
-        count = np.concatenate((count[self.inside][at], np.array([len(x) for x in having.values()], np.int64)))
-        self.keys, first = np.unique(keys, return_index=True)
-        self.count = count[first]
+        return np.array(list(having), np.uint64), np.array([len(x) for x in having.values()], np.int64)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, number of bodies) of all runs, by the suffix array, and segments."""
+        count = _suffixes(self.stream, self.owners[self.page_at], MIN_RUN)
+        runs, at = np.unique(self.hashes[self.inside], return_index=True)
+        keys, having = self._segments()
+        both, first = np.unique(np.concatenate((runs, keys)), return_index=True)
+        return both, np.concatenate((count[self.inside][at], having))[first]
 
     def candidates(self) -> np.ndarray:
-        return self.keys[SHARE * self.count >= self.bodies]
+        keys, count = self.counted()
+        return keys[SHARE * count >= self.bodies]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The number of bodies that have each key."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        return np.where(self.keys[at] == keys, self.count[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+        """The number of bodies that have each of the ascending keys, here and
+        there runs of other blocks, so found by hash and not by order."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        places = np.flatnonzero(self.inside & np.isin(self.hashes, keys))
+        pairs = np.unique(np.searchsorted(keys, self.hashes[places]) * self.bodies + self.owners[self.page_at[places]])
+        out = np.bincount(pairs // self.bodies, minlength=len(keys))
+        found, having = self._segments()
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        known = keys[at] == found
+        out[at[known]] = having[known]
+        return out
 
     def cuts(self, keys: np.ndarray) -> pa.Table:
         """(shape, cuts) of the pages that lose something to the keys: segment
@@ -374,10 +405,49 @@ def _boilerplate(keys: np.ndarray, count: np.ndarray, bodies: int) -> np.ndarray
     return keys[(SHARE * count >= bodies) & (count >= LEAST_BODIES)]
 
 
+def _bundle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of one host and block that a task meets, packed together: pages of a
+    host are alike, so they take far less room in the shuffle than one by one."""
+    held: dict[tuple[str, int | None], list[tuple]] = {}
+    size = 0
+
+    def seal() -> pa.RecordBatch:
+        keys = sorted(held, key=lambda key: (key[0], key[1] or 0))
+        packed = [_pack(pa.table({name: pa.array(values, kind) for (name, kind), values in zip(
+            _PAGE, zip(*held.pop(key), strict=True), strict=True)})) for key in keys]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([where for where, _ in keys], pa.string()), pa.array([block for _, block in keys], pa.int64()),
+             pa.array(packed, pa.binary())], names=["host", "block", "pages"])
+
+    for batch in it:
+        for where, block, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            held.setdefault((where, block), []).append(row)
+            size += len(row[-1])
+            if size >= BUNDLE_BYTES:
+                yield seal()
+                size = 0
+    if held:
+        yield seal()
+
+
+_PAGE = (("body", pa.binary()), ("shape", pa.binary()), ("aside", pa.binary()), ("stream", pa.string()))
+
+
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return squeeze(sink.getvalue().to_pybytes())
+
+
+def _unpack(bundles: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(expand(pages.as_py())).read_all() for pages in bundles])
+
+
 def _decide(table: pa.Table) -> pa.Table:
     """A host of one block."""
-    block = Block(table)
-    return block.cuts(_boilerplate(block.keys, block.count, block.bodies))
+    block = Block(_unpack(table.column("pages")))
+    return block.cuts(_boilerplate(*block.counted(), block.bodies))
 
 
 def _across(sent: DataFrame, scratch: Scratch) -> DataFrame:
@@ -386,8 +456,7 @@ def _across(sent: DataFrame, scratch: Scratch) -> DataFrame:
     What the blocks of a host say meets in one task and goes back to them as a
     file in the shared folder: candidates and counts, no streams.
     """
-    dealt = scratch.keep(sent.select("host", "block", "body", "shape", "aside", "stream").groupBy("host", "block").applyInArrow(
-        _freeze, "host string, pages binary"), "blocks", codec="uncompressed")
+    dealt = scratch.keep(sent.groupBy("host", "block").applyInArrow(_freeze, "host string, pages binary"), "blocks", codec="uncompressed")
     folder = scratch.path("hosts")
 
     def place(where: str, what: str) -> str:
@@ -399,8 +468,8 @@ def _across(sent: DataFrame, scratch: Scratch) -> DataFrame:
     def each(work: Callable[[str, Block], pa.RecordBatch]) -> Callable:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                for where, pages in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield from work(where, Block(pa.ipc.open_stream(expand(pages.as_py())).read_all())).to_batches()
+                for at, where in enumerate(batch.column(0).to_pylist()):
+                    yield from work(where, Block(_unpack(batch.column(1).slice(at, 1)))).to_batches()
         return run
 
     def name(where: str, block: Block) -> pa.Table:
@@ -439,11 +508,8 @@ def _across(sent: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _freeze(table: pa.Table) -> pa.Table:
-    sink = pa.BufferOutputStream()
-    rest = table.select(["body", "shape", "aside", "stream"])
-    with pa.ipc.new_stream(sink, rest.schema) as out:
-        out.write_table(rest)
-    return pa.table({"host": [table.column("host")[0].as_py()], "pages": pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())})
+    """The bundles of a block as one."""
+    return pa.table({"host": [table.column("host")[0].as_py()], "pages": pa.array([_pack(_unpack(table.column("pages")))], pa.binary())})
 
 
 def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +543,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         F.col("bytes") > GROUP_BYTES).select("host", F.ceil(F.col("bytes") / GROUP_BYTES).alias("blocks")), "large")
     some = not large.isEmpty()
     dealt = sent.join(F.broadcast(large), "host", "left") if some else sent.withColumn("blocks", F.lit(None).cast("long"))
-    cuts = dealt.where("blocks is null").select("host", "body", "shape", "aside", "stream").groupBy("host").applyInArrow(
+
+    def bundles(rows: DataFrame, block: Column) -> DataFrame:
+        return rows.select("host", block.alias("block"), *[name for name, _ in _PAGE]).mapInArrow(_bundle, BUNDLE)
+
+    cuts = bundles(dealt.where("blocks is null"), F.lit(None).cast("long")).groupBy("host").applyInArrow(
         _decide, "shape binary, cuts binary")
     if some:
-        blocked = dealt.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")))
+        blocked = bundles(dealt.where("blocks is not null"), F.pmod(F.xxhash64("body"), F.col("blocks")))
         cuts = cuts.unionByName(_across(blocked, scratch))
     cuts = scratch.keep(cuts, "cuts")
     if cuts.isEmpty():

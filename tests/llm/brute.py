@@ -127,3 +127,60 @@ def crc(values):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def page_texts(pages, run=10, least=4):
+    """pages: (host, html); the main text of each, boilerplate counted by sets."""
+    from strata.llm.html_text import DROPPED, UNDECIDED, segments
+
+    cut = [segments(html or "") for _, html in pages]
+    bodies = [tuple(text for kind, text in page if kind != DROPPED) for page in cut]
+    keys = []
+    for page in cut:
+        stream = [token for _, text in page for token in ["", *text.split(" ")]]
+        keys.append({tuple(stream[i:i + run]) for i in range(len(stream) - run + 1)} | {
+            text for _, text in page if len(text.split(" ")) >= least})
+    # Of pages that differ only in what is dropped the one with the fewest such keys need not be the one
+    # that counts, so inputs are to hold equal dropped segments wherever host and body are equal.
+    having, every = collections.defaultdict(set), collections.defaultdict(set)
+    for (host, _), body, own, page in zip(pages, bodies, keys, cut):
+        if page:  # a page without any text is no evidence
+            every[host].add(body)
+        for key in own:
+            having[host, key].add(body)
+    out = []
+    for (host, _), page in zip(pages, cut):
+        def common(key, host=host):
+            n = len(having.get((host, key), ()))
+            return bool(host) and n >= 3 and 2 * n >= len(every[host])
+
+        stream, spans = [], []
+        for kind, text in page:
+            stream.append("")
+            spans.append((len(stream), len(stream) + len(text.split(" "))))
+            stream += text.split(" ")
+        hit = [False] * len(stream)
+        for i in range(len(stream) - run + 1):
+            if common(tuple(stream[i:i + run])):
+                hit[i:i + run] = [True] * run
+        kept = []
+        for (kind, text), (low, high) in zip(page, spans):
+            if kind == DROPPED:
+                continue
+            tokens, marks = stream[low:high], hit[low:high]
+            if high - low >= least and common(text) and (kind == UNDECIDED or high - low >= run):
+                continue
+            if kind == UNDECIDED:
+                for at in range(len(tokens)):  # the run of marks around a token
+                    if marks[at]:
+                        a, b = at, at
+                        while a and marks[a - 1]:
+                            a -= 1
+                        while b + 1 < len(marks) and marks[b + 1]:
+                            b += 1
+                        if b + 1 - a >= run or b + 1 - a == len(tokens):
+                            tokens[at] = None
+                tokens = [t for t in tokens if t is not None]
+            kept += tokens
+        out.append(" ".join(kept))
+    return out

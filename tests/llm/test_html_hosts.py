@@ -59,3 +59,26 @@ def test_copies_and_quotes_stay(spark):
     assert {got[k] for k in range(5)} == {story}
     for k, t in enumerate(own):
         assert got[10 + k] == (f"{t} {phrase} {t}" if k < 2 else f"{t} {t}")
+
+
+def test_hosts_against_sets(spark, monkeypatch):
+    from strata.llm import html_text
+    from tests.llm.brute import page_texts
+
+    for seed in range(3):
+        r = random.Random(100 + seed)
+        pool = [line(r, k) for k in (2, 4, 6, 9, 10, 11, 14, 25)]
+        pages = []
+        for k in range(50):
+            parts = [r.choice(pool) if r.random() < 0.6 else line(r, r.choice((3, 8, 20))) for _ in range(r.randrange(7))]
+            parts = [f"{line(r, 2)} {p}" if r.random() < 0.2 else p for p in parts]
+            inner = "".join(f"<p>{p}</p>" for p in parts)
+            inner = r.choice((f"<article>{inner}</article>", f"<div>{inner}</div>", f"<nav>{pool[-1]}</nav><div>{inner}</div>"))
+            host = r.choice(("a.example", "a.example", "b.example", ""))
+            pages.append((host, r.choice((None, "", *[f"<body>{inner}</body>"] * 12))))
+        rows = [(k, f"http://{host}/{k}" if host else None, html) for k, (host, html) in enumerate(pages)]
+        want = dict(enumerate(page_texts(pages)))
+        for group, bundle in ((8 << 20, 16 << 20), (3000, 1), (900, 2000)):
+            monkeypatch.setattr(html_text, "GROUP_BYTES", group)
+            monkeypatch.setattr(html_text, "BUNDLE_BYTES", bundle)
+            assert texts(spark, rows) == want
