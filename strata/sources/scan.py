@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +14,16 @@ from pyspark.sql import functions as F
 
 from strata.functions.address import DOC_FORMATS
 from strata.functions.address import doc_format as format_of
+from strata.plans.scratch import keep
 
 #: Bytes of listed files that one task opens.
 TASK_BYTES = 4 << 20
+#: Folders that the driver lists, that a task lists, and that a task is given to begin with.
+DRIVER_FOLDERS = 1000
+TASK_FOLDERS = 1000
+TASK_SHARE = 20
+LISTED = "path string, full string, size long, modified timestamp"
+Listed = tuple[str, str, int, datetime | None]
 
 #: Directories that are not entered, and manifest file names.
 PRUNED = (
@@ -29,41 +38,83 @@ def _entered(name: str) -> bool:
     return name not in PRUNED and not (name.startswith(".") and len(name) > 1)
 
 
-def list_tree(root: str, wanted: Callable[[str], bool]) -> list[tuple[str, str, int, datetime | None]]:
-    """(relative path, full path, size, time) of the wanted files below root.
-
-    Folders that are not entered are never listed.  Spark's own file sources
-    pass over names that begin with an underscore, ``__init__.py`` among them,
-    so names are listed here and the executors open what is listed.
-    """
+def _store(root: str) -> tuple[Any, str, str]:
+    """(file system, path in it, what to put before its paths)"""
     from pyarrow import fs
 
     if "://" in root:
-        store, top = fs.FileSystem.from_uri(root)
-        scheme = root.split("://")[0] + "://"
-    else:
-        store, top, scheme = fs.LocalFileSystem(), os.path.abspath(root), ""
-    info = store.get_file_info(top)
-    if info.is_file:
-        return [(info.base_name, scheme + top, info.size, info.mtime)] if wanted(info.base_name) else []
-    out, todo = [], [top] if info.type == fs.FileType.Directory else []
-    while todo:
-        for item in store.get_file_info(fs.FileSelector(todo.pop())):
+        return *fs.FileSystem.from_uri(root), root.split("://")[0] + "://"
+    return fs.LocalFileSystem(), os.path.abspath(root), ""
+
+
+def _walk(root: str, folders: list[str], wanted: Callable[[str], bool], deepest: int | None, most: int) -> tuple[list[Listed], list[str]]:
+    """Wanted files in the folders and below, and the folders that are left after
+    ``most``; a folder that is gone by now or refused is passed over."""
+    from pyarrow import fs
+
+    store, top, scheme = _store(root)
+    cut = len(top.rstrip("/")) + 1
+    out, todo = [], deque(folders)
+    while todo and most:
+        most -= 1
+        try:
+            items = store.get_file_info(fs.FileSelector(todo.popleft()))
+        except (FileNotFoundError, PermissionError):
+            continue
+        for item in items:
             if not scheme and os.path.islink(item.path):
                 continue
+            place = item.path[cut:]
             if item.type == fs.FileType.Directory:
-                if _entered(item.base_name):
+                if _entered(item.base_name) and (deepest is None or place.count("/") < deepest):
                     todo.append(item.path)
             elif item.is_file and wanted(item.base_name):
-                out.append((item.path[len(top.rstrip("/")) + 1:], scheme + item.path, item.size, item.mtime))
-    return sorted(out, key=lambda row: row[0].split("/"))
+                out.append((place, scheme + item.path, item.size, item.mtime))
+    return out, list(todo)
+
+
+def listed_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool], deepest: int | None = None) -> DataFrame:
+    """(path, full, size, modified) of the files below root; a file is itself.
+
+    Folders that are not entered, or lie below ``deepest`` levels, are never
+    listed.  Spark's own file sources pass over names that begin with an
+    underscore, ``__init__.py`` among them, so names are listed here and the
+    executors open what is listed.  The driver lists DRIVER_FOLDERS at most; of a
+    larger tree the executors list the rest in rounds, TASK_FOLDERS a task, and
+    what a task leaves is dealt anew.
+    """
+    from pyarrow import fs
+
+    store, top, scheme = _store(root)
+    info = store.get_file_info(top)
+    if info.is_file:
+        listed, left = [(info.base_name, scheme + top, info.size, info.mtime)] if wanted(info.base_name) else [], []
+    else:
+        listed, left = _walk(root, [top] if info.type == fs.FileType.Directory else [], wanted, deepest, DRIVER_FOLDERS)
+    files = spark.createDataFrame(sorted(listed), LISTED)
+    if not left:
+        return files.repartition(_tasks(len(listed), sum(row[2] or 0 for row in listed)))
+
+    def below(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = [folder for batch in it for folder in batch.column(0).to_pylist()]
+        found, rest = _walk(root, folders, wanted, deepest, TASK_FOLDERS)
+        paths, fulls, sizes, times = zip(*found, *((None, folder, None, None) for folder in rest)) if found or rest else ((),) * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(fulls, pa.string()), pa.array(sizes, pa.int64()),
+             pa.array(times, pa.timestamp("us", "UTC"))], names=["path", "full", "size", "modified"])
+
+    todo, waiting = spark.createDataFrame([(folder,) for folder in left], "folder string"), len(left)
+    while waiting:
+        found = keep(todo.repartition(-(-waiting // TASK_SHARE)).mapInArrow(below, LISTED), "listing")
+        files = files.unionByName(found.where("path is not null"))
+        todo = found.where("path is null").select(F.col("full").alias("folder"))
+        waiting = todo.count()
+    number, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return files.repartition(_tasks(number, size))
 
 
-def listed_tree(spark: SparkSession, root: str, wanted: Callable[[str], bool]) -> DataFrame:
-    """(path, full, size, modified) of the files below root; a file is itself."""
-    listed = [(path, full, size, time.replace(tzinfo=None) if time else None) for path, full, size, time in list_tree(root, wanted)]
-    tasks = max(1, min(len(listed), sum(row[2] or 0 for row in listed) // TASK_BYTES + 1))
-    return spark.createDataFrame(listed, "path string, full string, size long, modified timestamp").repartition(tasks)
+def _tasks(files: int, size: int) -> int:
+    return max(1, min(files, size // TASK_BYTES + 1))
 
 
 def opened(files: DataFrame) -> DataFrame:
@@ -125,8 +176,7 @@ def doc_format(path: Column) -> Column:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """Build manifests at most two levels below the root."""
-    rows = listed_tree(spark, root, lambda name: name in MANIFESTS or name.startswith("requirements"))
-    return opened(rows.where(F.size(F.split("path", "/")) <= 2))
+    return opened(listed_tree(spark, root, lambda name: name in MANIFESTS or name.startswith("requirements"), deepest=1))
 
 
 def console_scripts(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -53,3 +53,30 @@ def test_patterns(spark):
     got = spark.range(1).select(matches(word, "go"), matches(word, "go", True), matches(word, r"^\w+$"), matches_whole(word, r"na\w+"),
                                 matches_whole(word, "go"), matches(word, "(?P<a>g)o")).first()
     assert tuple(got) == (True, False, True, True, False, True)
+
+
+def test_listing_by_executors(spark, tmp_path, monkeypatch):
+    from strata.sources import scan
+
+    for k in range(12):
+        for name in ("a.py", "b.txt", "sub/__init__.py", "sub/deep/c.pyi", "build/d.py", ".hidden/e.py"):
+            file = tmp_path / f"m{k}" / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_text(f"x = {k}\n")
+    (tmp_path / "setup.py").write_text("")
+    (tmp_path / "m1" / "tox.ini").write_text("")
+    (tmp_path / "m1" / "sub" / "setup.cfg").write_text("")
+    (tmp_path / "link").symlink_to(tmp_path / "m1")
+
+    def rows():
+        return sorted(map(tuple, scan.source_listing(spark, str(tmp_path)).collect()))
+
+    whole = rows()
+    assert [r[0] for r in whole] == sorted([f"m{k}/{n}" for k in range(12) for n in ("a.py", "sub/__init__.py", "sub/deep/c.pyi")] + ["setup.py"])
+    for driver, task, share in ((1, 1, 1), (1, 2, 5), (3, 1000, 20)):
+        monkeypatch.setattr(scan, "DRIVER_FOLDERS", driver)
+        monkeypatch.setattr(scan, "TASK_FOLDERS", task)
+        monkeypatch.setattr(scan, "TASK_SHARE", share)
+        assert rows() == whole
+        assert sorted(r.path for r in scan.manifests(spark, str(tmp_path)).collect()) == ["m1/tox.ini", "setup.py"]
+    assert scan.source_listing(spark, str(tmp_path / "none")).count() == 0
