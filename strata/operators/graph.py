@@ -113,11 +113,13 @@ def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
     symbols = code.some("symbols", "name", "dotted", "signature", "ord", "start_line", "end_line")
     span = symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"]).groupBy("path", "dotted").agg(
         F.min_by(F.struct("start_line", "end_line"), "ord").alias("s"))
-    # Paths in order, then source order: the order in which definitions are listed.
+    # Paths in order, then source order: the order in which definitions are listed.  The limit
+    # and the count are both taken in part before the shuffle, so a name that every file has is small.
     place = Window.partitionBy("name").orderBy("path", "ord")
-    named = symbols.select(
+    first = symbols.select(
         "name", F.concat("path", F.lit("#"), "dotted").alias("address"), "signature",
-        F.row_number().over(place).alias("number"), F.count("*").over(Window.partitionBy("name")).alias("of"))
+        F.row_number().over(place).alias("number")).where(F.col("number") <= MOST_DEFINITIONS)
+    named = first.join(symbols.groupBy("name").agg(F.count("*").alias("of")), "name")
     calls = code.some("calls", "name", "line")
     # Calls and spans meet in stretches of lines, so a long file is no product of both.
     calls = calls.withColumn("stretch", F.floor(F.col("line") / STRETCH))
@@ -125,7 +127,7 @@ def packet_callees(code: Code, targets: DataFrame) -> DataFrame:
     inside = calls.join(spans, ["path", "stretch"]).where(F.col("line").between(F.col("s.start_line"), F.col("s.end_line")))
     wanted = inside.select(F.concat("path", F.lit("#"), "dotted").alias("target"), "name").distinct()
     note = F.when(F.col("of") == 1, "certain").otherwise(F.concat(F.col("of").cast("string"), F.lit(" definitions share this name")))
-    return wanted.join(named.where(F.col("number") <= MOST_DEFINITIONS), "name").groupBy("target", "address").agg(
+    return wanted.join(named, "name").groupBy("target", "address").agg(
         F.min(F.struct("number", "signature", note.alias("note"))).alias("r")).select(
         "target", "address", "r.signature", "r.note").orderBy("target", "address")
 
