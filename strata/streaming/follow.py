@@ -1,7 +1,7 @@
 """New files of a folder into the relations, as a Structured Streaming query.
 
-Each micro-batch parses the files that arrived and appends one wide row a file
-to a table; re-reading a changed file appends a newer row, and ``latest`` keeps
+Each micro-batch parses the files that arrived and appends their wide
+rows to a table; re-reading a changed file appends newer rows, and ``latest`` keeps
 the newest of each path.  Spark's file stream passes over names that begin with
 an underscore; trees that have such files are indexed by ``relations.build``.
 """
@@ -32,5 +32,5 @@ def follow(spark: SparkSession, folder: str, table: str, checkpoint: str) -> Str
 
 def latest(spark: SparkSession, table: str) -> Code:
     newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("batch"))
-    rows = spark.read.parquet(table).withColumn("_n", F.row_number().over(newest))
+    rows = spark.read.parquet(table).withColumn("_n", F.rank().over(newest))
     return Code(rows.where("_n = 1").drop("_n", "batch"))
