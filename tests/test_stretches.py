@@ -78,3 +78,12 @@ def test_no_row_grows_with_the_file(spark):
     rows = code._of("symbols")
     assert "idents" not in rows.columns and dict(rows.dtypes)["symbols"].startswith("struct")
     assert rows.where("path = 'defs/p0.py'").count() > 20 and code.files.where("path = 'defs/p0.py'").count() == 1
+
+
+def test_documents_give_a_row_a_node(spark):
+    from strata.plans.relations import Docs, parse_docs
+
+    text = "".join(f"k{n}: {n}\n" for n in range(5000))
+    docs = Docs(parse_docs(spark.createDataFrame([("a.yaml", "yaml", text), ("b.json", "json", "{")], "path string, format string, content string")))
+    assert docs.wide.where("path = 'a.yaml'").count() == docs.nodes.count() == 5000
+    assert sorted((r.path, r.entries, r.lines) for r in docs.files.collect())[0] == ("a.yaml", 5000, 5000) and docs.files.count() == 2
