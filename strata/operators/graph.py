@@ -30,12 +30,8 @@ def homonyms(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("name").agg(F.count("*").cast("long").alias("homonyms"))
 
 
-def callers(code: Code, targets: DataFrame | None = None, tests: bool = True) -> DataFrame:
-    """Graded call sites of each target; targets: path, dotted (all, if absent).
-
-    Calls meet definitions by name.  The definitions of one address are one
-    target: its arity fits if any of them accepts it.
-    """
+def _targets(code: Code, targets: DataFrame | None) -> DataFrame:
+    """The definitions of each address, its class and how many share its name."""
     symbols = code.symbols
     rows = symbols if targets is None else symbols.join(targets.select("path", "dotted").distinct(), ["path", "dotted"], "left_semi")
     parts = F.split("dotted", r"\.")
@@ -43,21 +39,30 @@ def callers(code: Code, targets: DataFrame | None = None, tests: bool = True) ->
         F.array_agg(F.struct("required", "max_args", "start_line", "end_line")).alias("defs")).select(
         F.col("path").alias("t_path"), F.col("dotted").alias("t_dotted"), "name", "defs",
         F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")).alias("t_class"))
-    target = target.join(homonyms(symbols), "name")
-    files = code.files.select("path", "is_test")
-    calls = code.calls.join(files, "path")
-    if not tests:
-        calls = calls.where(~F.col("is_test"))
-    imported = code.imports.select("path", F.explode(F.array_compact(F.array("name", "alias"))).alias("name")).distinct().withColumn(
+    return target.join(homonyms(symbols), "name")
+
+
+def _calls(code: Code, tests: bool) -> DataFrame:
+    calls = code.calls.join(code.files.select("path", "is_test"), "path")
+    return calls if tests else calls.where(~F.col("is_test"))
+
+
+def _imported(code: Code) -> DataFrame:
+    return code.imports.select("path", F.explode(F.array_compact(F.array("name", "alias"))).alias("name")).distinct().withColumn(
         "imported", F.lit(True))
-    met = calls.join(target, "name").join(imported, ["path", "name"], "left")
-    same_file = F.col("path") == F.col("t_path")
-    recursion = (same_file & F.exists("defs", lambda d: F.col("line").between(d["start_line"], d["end_line"]))
-                 & (F.col("enclosing") == F.col("t_dotted")) & F.col("receiver").isNull())
-    fits = F.exists("defs", lambda d: accepts(F.col("arity"), d["required"], d["max_args"]))
-    unique = F.col("homonyms") == 1
-    own = F.col("receiver").isin("self", "cls")
-    same_class = same_file & ((F.col("enclosing") == F.col("t_class")) | F.startswith("enclosing", F.concat("t_class", F.lit("."))))
+
+
+def _within_a_definition() -> Column:
+    return F.exists("defs", lambda d: F.col("line").between(d["start_line"], d["end_line"]))
+
+
+def _own() -> Column:
+    return F.col("receiver").isin("self", "cls")
+
+
+def _graded(fits: Column, same_file: Column, same_class: Column) -> tuple[Column, Column]:
+    """Tier and reason of a call of a target."""
+    unique, own = F.col("homonyms") == 1, _own()
     share = F.concat(F.col("homonyms").cast("string"), F.lit(" definitions share the name"))
     on = F.concat(F.lit("attribute call on `"), "receiver", F.lit("`, "))
     ladder = [
@@ -77,15 +82,77 @@ def callers(code: Code, targets: DataFrame | None = None, tests: bool = True) ->
         when = F.coalesce(when, F.lit(False))
         rank = F.when(when, tier) if rank is None else rank.when(when, tier)
         reason = F.when(when, why) if reason is None else reason.when(when, why)
+    return rank, reason
+
+
+def _tier(rank: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in TIERS]), rank + 1)
+
+
+def callers(code: Code, targets: DataFrame | None = None, tests: bool = True) -> DataFrame:
+    """Graded call sites of each target; targets: path, dotted (all, if absent).
+
+    Calls meet definitions by name.  The definitions of one address are one
+    target: its arity fits if any of them accepts it.
+    """
+    met = _calls(code, tests).join(_targets(code, targets), "name").join(_imported(code), ["path", "name"], "left")
+    same_file = F.col("path") == F.col("t_path")
+    recursion = same_file & _within_a_definition() & (F.col("enclosing") == F.col("t_dotted")) & F.col("receiver").isNull()
+    fits = F.exists("defs", lambda d: accepts(F.col("arity"), d["required"], d["max_args"]))
+    same_class = same_file & ((F.col("enclosing") == F.col("t_class")) | F.startswith("enclosing", F.concat("t_class", F.lit("."))))
+    rank, reason = _graded(fits, same_file, same_class)
     graded = met.where(~F.coalesce(recursion, F.lit(False))).withColumn("rank", rank)
     return graded.select(
         F.concat("t_path", F.lit("#"), "t_dotted").alias("target"),
         address(F.col("path"), F.col("enclosing"), F.col("line")).alias("address"), "path", "line",
-        F.col("full").alias("call"), "arity",
-        F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("rank") + 1).alias("confidence"),
+        F.col("full").alias("call"), "arity", _tier(F.col("rank")).alias("confidence"),
         "is_test", reason.alias("reason"), "rank", "byte", "enclosing")
 
 
+def tier_counts(code: Code, targets: DataFrame | None = None, tests: bool = True) -> DataFrame:
+    """How many call sites of how many targets have each tier and reason: what
+    ``callers`` gives, counted without its rows.
+
+    A name that many files define and call has as many rows there as the product
+    of both.  Here equal calls and equal targets meet once, with their numbers: of
+    all files, of the same file, and one by one only of the same class or function.
+    """
+    found = _targets(code, targets).withColumn("takes", F.array_sort(F.array_distinct(F.transform(
+        "defs", lambda d: F.struct(d["required"].alias("required"), d["max_args"].alias("max_args"))))))
+    names = found.select("name").distinct()
+    calls = _calls(code, tests).join(names, "name", "left_semi").join(
+        _imported(code).join(names, "name", "left_semi"), ["path", "name"], "left")
+    call, target = ("name", "receiver", "arity", "imported"), ("name", "takes", "homonyms")
+    kinds = [*call, *target[1:]]
+
+    def numbers(*place: tuple[str, str]) -> DataFrame:
+        here, there = [p for p, _ in place], [F.col(t).alias(p) for p, t in place]
+        a = calls.groupBy(*here, *call).agg(F.count("*").alias("a"))
+        b = found.select(*there, *target).groupBy(*here, *target).agg(F.count("*").alias("b"))
+        return a.join(b, [*here, "name"]).select(*kinds, (F.col("a") * F.col("b")).alias("n"))
+
+    parts = F.split("enclosing", r"\.")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    inside = calls.where(_own() & F.col("enclosing").isNotNull()).withColumn("_in", F.explode(around)).join(
+        found, "name").where((F.col("path") == F.col("t_path")) & (F.col("_in") == F.col("t_class")))
+    recursive = calls.where("receiver IS NULL").join(found, "name").where(
+        (F.col("path") == F.col("t_path")) & (F.col("enclosing") == F.col("t_dotted")) & _within_a_definition())
+    one, everywhere, file = F.lit(1).cast("long").alias("n"), numbers(), numbers(("path", "t_path"))
+    n, minus = F.col("n"), -F.col("n")
+
+    def share(rows: DataFrame, weight: Column, same_file: bool, same_class: bool) -> DataFrame:
+        return rows.select(*kinds, weight.alias("n"), F.lit(same_file).alias("same_file"), F.lit(same_class).alias("same_class"))
+
+    inside, recursive = inside.select(*kinds, one), recursive.select(*kinds, one)
+    pairs = share(everywhere, n, False, False)
+    for more in (share(file, minus, False, False), share(file, n, True, False), share(inside, minus, True, False),
+                 share(inside, n, True, True), share(recursive, minus, True, False)):
+        pairs = pairs.unionByName(more)
+    fits = F.exists("takes", lambda d: accepts(F.col("arity"), d["required"], d["max_args"]))
+    rank, reason = _graded(fits, F.col("same_file"), F.col("same_class"))
+    return pairs.groupBy(_tier(rank).alias("confidence"), reason.alias("reason")).agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def ordered_callers(rows: DataFrame) -> DataFrame:
     return rows.orderBy("target", "rank", "path", "line", "byte")
 
